@@ -137,9 +137,9 @@ def fan_in_mismatches(modules: DataFrame, edges: DataFrame, metrics: DataFrame,
     edges to the module whose from_id is a current module of the snapshot; kinds
     compare without case and outer blanks (null is a kind of its own).
     """
-    from archlake.sources.tables import current_modules
+    from archlake.sources.tables import current_module_ids
 
-    sources = current_modules(modules).select("snapshot_id", F.col("id").alias("from_id"))
+    sources = current_module_ids(modules).select("snapshot_id", F.col("id").alias("from_id"))
     rows = (
         edges.select("snapshot_id", "from_id", F.col("to_id").alias("id"), F.lower(F.trim("kind")).alias("kind"))
         .where("snapshot_id is not null and from_id is not null and id is not null")
