@@ -16,7 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archlake.sources.tables import current_modules, deliveries
+from archlake.functions.paths import canonical_path
+from archlake.session import Scratch
+from archlake.sources.tables import current_module_ids, deliveries
 
 ADDED, REMOVED, CHANGED = "added", "removed", "changed"
 
@@ -119,8 +121,8 @@ class SnapshotIndex:
 
 
 def module_index(modules: DataFrame) -> DataFrame:
-    """snapshot_id, id, path, path_hash, sha (case-free, nullable) and exports (set) hashes of current modules."""
-    rows = current_modules(
+    """snapshot_id, id, path_hash, sha (case-free, nullable) and exports (set) hashes of current modules."""
+    return current_module_ids(
         modules.select(
             "snapshot_id", "id", "path", "scanned_at",
             F.when(F.col("content_sha").isNotNull(), hash64(F.lower("content_sha"))).alias("sha"),
@@ -128,7 +130,6 @@ def module_index(modules: DataFrame) -> DataFrame:
         ),
         "sha", "exp",
     )
-    return rows.withColumn("path_hash", hash64(F.col("path")))
 
 
 def history_delta(snapshots: DataFrame, modules: DataFrame, edges: DataFrame) -> DataFrame:
@@ -148,7 +149,8 @@ def history_delta(snapshots: DataFrame, modules: DataFrame, edges: DataFrame) ->
         F.col("snapshot_id").alias("next_id"), F.col("previous_id").alias("snapshot_id")
     )
     known = steps.where("previous_id is not null").select("snapshot_id")
-    index = module_index(modules).join(here.select("snapshot_id"), "snapshot_id", "left_semi")
+    scratch = Scratch(modules.sparkSession, "delta")
+    index = scratch.write(module_index(modules).join(here.select("snapshot_id"), "snapshot_id", "left_semi"), "index")
 
     def as_last(df: DataFrame) -> DataFrame:
         return df.join(successor, "snapshot_id").drop("snapshot_id").withColumnRenamed("next_id", "snapshot_id")
@@ -174,7 +176,8 @@ def history_delta(snapshots: DataFrame, modules: DataFrame, edges: DataFrame) ->
     changed_edges = probe(as_last(pairs), as_new(pairs), ["snapshot_id", "fh", "th"])
 
     # values are fetched for changed keys only, by hash, from all paths ever delivered
-    names = index.groupBy("path_hash").agg(F.min("path").alias("path"))
+    paths = modules.select(canonical_path("path").alias("path")).where("path is not null").distinct()
+    names = paths.select(hash64(F.col("path")).alias("path_hash"), "path")
     out_modules = changed_modules.join(names, "path_hash").select(
         "snapshot_id", F.lit("module").alias("entity"), "path", F.lit("").alias("to_path"), "delta"
     )
