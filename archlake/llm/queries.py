@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from archlake.llm import components
+from archlake.llm import components, leakage, mixing
+from archlake.llm.neardup import NearDuplicates
 from archlake.plans.sql import CANON
 from archlake.sources.tables import table
 
@@ -17,7 +18,38 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.group_report(table(spark, sf_dir, "dupe_reports"), table(spark, sf_dir, "dupe_pairs"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups}
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return NearDuplicates(table(spark, sf_dir, "dupe_reports"), table(spark, sf_dir, "source_files")).expanded()
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> mixing.Mixture:
+    return mixing.Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir).unreachable()
+
+
+def p7_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir).copies()
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir).shares()
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p6_found": p6_found, "p6_items": p6_items,
+    "p7_found": p7_found, "p7_copies": p7_copies, "p7_shares": p7_shares,
+}
 
 _LINKS = f"""links AS (
   SELECT report_id, pa, pb, max(similarity) AS similarity FROM (
@@ -33,7 +65,23 @@ reach(report_id, x, y) AS (
   SELECT r.report_id, r.x, s.y FROM reach r JOIN sym s ON s.report_id = r.report_id AND s.x = r.y),
 groups AS (SELECT report_id, x AS path, min(y) AS group_path FROM reach GROUP BY ALL)"""
 
+_WINDOWS = r"""
+iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
+dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+ip AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS p FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM iw WHERE len(w) >= 12)),
+dp AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 11], ' ') AS p FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM dw WHERE len(w) >= 12)),
+hits AS (SELECT DISTINCT doc_id, item_id FROM dp JOIN ip USING (p))"""
+
 ORACLES = {
+    "p6_found": f"WITH {_WINDOWS} SELECT doc_id, item_id FROM hits",
+    "p6_items": f"""WITH {_WINDOWS}
+SELECT e.item_id, e.suite, count(h.doc_id) AS documents FROM eval_items e LEFT JOIN hits h ON h.item_id = e.item_id GROUP BY ALL""",
+    # any tokenizer gives the same rows, so characters stand for tokens here
+    "p7_found": """
+WITH d AS (SELECT lower(trim(source)) AS source, sum(length(text)) AS n FROM documents GROUP BY 1),
+m AS (SELECT t.source, t.target_share, t.max_repeats, coalesce(d.n, 0) AS n
+      FROM mix_targets t LEFT JOIN d ON d.source = lower(trim(t.source)))
+SELECT source FROM m WHERE max_repeats * n < target_share * (SELECT sum(n) FROM m)""",
     "p1_found": f"WITH RECURSIVE {_LINKS} SELECT report_id, path, group_path FROM groups",
     "p1_groups": f"""WITH RECURSIVE {_LINKS}
 SELECT g.report_id, g.group_path, count(DISTINCT g.path) AS files,
