@@ -10,6 +10,7 @@ gives ``foo`` and a number.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 import numpy as np
 import xxhash
@@ -72,13 +73,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str, n: int = 4) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of all runs of ``n`` tokens; empty below ``n`` tokens."""
-    h = np.fromiter(map(_HASHES.__getitem__, TOKEN.findall(text)), dtype=np.uint64)
-    h = h[h != 0]
-    if len(h) < n:
-        return np.empty(0, np.uint64)
-    x = h[: len(h) - n + 1].copy()
+def batch_shingles(texts: Iterable[str], n: int = 4) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of all runs of ``n`` tokens; empty below ``n`` tokens."""
+    parts = [np.fromiter(map(_HASHES.__getitem__, TOKEN.findall(t)), dtype=np.uint64) for t in texts]
+    parts = [p[p != 0] for p in parts]
+    sizes = [len(p) for p in parts]
+    h = np.concatenate([*parts, np.zeros(n, np.uint64)])
+    x = h[: len(h) - n].copy()
     for k in range(1, n):
-        x = x * _A + h[k : len(h) - n + 1 + k]
-    return np.unique(mix64(x))
+        x *= _A
+        x += h[k : len(h) - n + k]
+    x = mix64(x)
+    out, at = [], 0
+    for size in sizes:
+        run = x[at : at + max(0, size - n + 1)]
+        at += size
+        run = np.sort(run)
+        out.append(run[np.concatenate([[True], run[1:] != run[:-1]])] if len(run) else run)
+    return out
+
+
+def shingles(text: str, n: int = 4) -> np.ndarray:
+    return batch_shingles([text], n)[0]
