@@ -55,7 +55,7 @@ def _grow(links: DataFrame, level: int, beta: float, radius: int) -> DataFrame:
     return reached.select("v", "centre")
 
 
-def connected_groups(links: DataFrame, beta: float = 0.7, radius: int = 3, max_levels: int = 60) -> DataFrame:
+def connected_groups(links: DataFrame, beta: float = 0.3, radius: int = 6, max_levels: int = 60) -> DataFrame:
     """v, root for every record of ``links`` (a, b: bigint); equal roots mean linked directly or indirectly.
 
     Self links and repeats are ignored, links with a null end too; no links give
@@ -106,7 +106,7 @@ def accepted_pairs(reports: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def file_groups(reports: DataFrame, pairs: DataFrame, beta: float = 0.7, radius: int = 3) -> DataFrame:
+def file_groups(reports: DataFrame, pairs: DataFrame, beta: float = 0.3, radius: int = 6) -> DataFrame:
     """report_id, path, group_path: every linked file with the smallest path (by bytes) of its group.
 
     Files are numbered by a 64-bit hash of (report, path); a collision is looked

@@ -18,10 +18,11 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archlake.functions.source_text import mix64, shingles
+from archlake.functions.source_text import batch_shingles, mix64
 from archlake.operators.simjoin import exact_pairs, prefix_candidates
 from archlake.session import Scratch
 
@@ -76,26 +77,34 @@ def minhash(items: np.ndarray, k: int) -> np.ndarray:
 def _sketcher(miss: float):
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            rows = []
-            for fid, rid, t, text in zip(x["file_id"], x["report_id"], x["threshold"], x["content"]):
-                items = shingles(text)
-                if not len(items):
-                    continue
-                r, n = bands(float(t), miss)
-                mh = minhash(items, max(SIGNATURE, r * n))
-                key = np.arange(n, dtype=np.uint64) + np.uint64(xxh(rid))
-                for col in mh[: r * n].reshape(n, r).T:
-                    key = mix64(key + col.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-                whole = mix64(items).sum(dtype=np.uint64)
-                rows.append((fid, rid, t, len(items), int(whole.view(np.int64)), key.view(np.int64), (mh[:SIGNATURE] & np.uint32(255)).astype(np.uint8).tobytes()))
-            yield pd.DataFrame(rows, columns=["file_id", "report_id", "threshold", "size", "set_hash", "keys", "sig"])
+            for at in range(0, len(x), 256):
+                yield from sketch_rows(x.iloc[at : at + 256])
+
+    def sketch_rows(x: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        sets = batch_shingles(x["content"])
+        x = x.assign(items=sets, size=[len(s) for s in sets])
+        x = x[x["size"] > 0]
+        for t, group in x.groupby("threshold"):
+            r, n = bands(float(t), miss)
+            mh = np.stack([minhash(s, max(SIGNATURE, r * n)) for s in group["items"]])
+            salt = np.array([xxh(rid) for rid in group["report_id"]], np.uint64)
+            keys = salt[:, None] + np.arange(n, dtype=np.uint64)
+            for k in range(r):
+                keys = mix64(keys + mh[:, k : r * n : r] + np.uint64(0x9E3779B97F4A7C15))
+            sig = (mh[:, :SIGNATURE] & np.uint32(255)).astype(np.uint8)
+            yield pd.DataFrame(
+                {
+                    "file_id": group["file_id"], "report_id": group["report_id"], "threshold": t, "size": group["size"],
+                    "set_hash": [int(s.sum(dtype=np.uint64).view(np.int64)) for s in group["items"]],
+                    "keys": list(keys.view(np.int64)), "sig": [v.tobytes() for v in sig],
+                }
+            )
 
     return sketch
 
 
+@cache
 def xxh(number: int) -> int:
-    import xxhash
-
     return xxhash.xxh64_intdigest(str(number))
 
 
@@ -122,12 +131,12 @@ def _prune(miss: float):
 
 def _item_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for x in batches:
-        yield pd.DataFrame({"id": x["file_id"], "threshold": x["threshold"], "items": [shingles(t).tobytes() for t in x["content"]]})
+        yield pd.DataFrame({"id": x["file_id"], "threshold": x["threshold"], "items": [s.tobytes() for s in batch_shingles(x["content"])]})
 
 
 def _token_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for x in batches:
-        sets = [shingles(t).view(np.int64) for t in x["content"]]
+        sets = [s.view(np.int64) for s in batch_shingles(x["content"])]
         yield pd.DataFrame({"id": x["file_id"], "part": x["report_id"], "threshold": x["threshold"], "size": [len(s) for s in sets], "tokens": sets})
 
 

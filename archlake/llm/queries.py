@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from archlake.llm import components, leakage, mixing
+from archlake.llm import components, encoding, leakage, mixing
 from archlake.llm.neardup import NearDuplicates
 from archlake.plans.sql import CANON
 from archlake.sources.tables import table
@@ -46,9 +46,18 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir).shares()
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.restored(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.restored(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p6_found": p6_found, "p6_items": p6_items,
     "p7_found": p7_found, "p7_copies": p7_copies, "p7_shares": p7_shares,
+    "p8_found": p8_found, "p8_restored": p8_restored,
 }
 
 _LINKS = f"""links AS (
