@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from archlake.llm import components, encoding, leakage, mixing
+from archlake.llm import components, encoding, generated, leakage, mixing
 from archlake.llm.neardup import NearDuplicates
 from archlake.plans.sql import CANON
 from archlake.sources.tables import table
@@ -22,6 +22,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NearDuplicates(table(spark, sf_dir, "dupe_reports"), table(spark, sf_dir, "source_files")).expanded()
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generated.not_hand_written(table(spark, sf_dir, "source_files")).select("file_id")
+
+
+def p5_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generated.not_hand_written(table(spark, sf_dir, "source_files"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -55,7 +63,9 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p6_found": p6_found, "p6_items": p6_items,
+    "p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found,
+    "p5_found": p5_found, "p5_reasons": p5_reasons,
+    "p6_found": p6_found, "p6_items": p6_items,
     "p7_found": p7_found, "p7_copies": p7_copies, "p7_shares": p7_shares,
     "p8_found": p8_found, "p8_restored": p8_restored,
 }
