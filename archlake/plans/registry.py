@@ -2,5 +2,370 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from archlake.operators import graph, rollup, rules, signals, trends
+from archlake.operators.snapshot_delta import history_delta
+from archlake.plans.sql import CANON, MODULES, STEPS
+from archlake.sources.tables import current_modules, deliveries, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+#: the rules of the queries: top-level folders as boundaries, lower layers first
+RULES = rules.Rules(
+    boundaries={
+        "core": ["packages/**"], "libs": ["libs/**"], "services": ["services/**"], "apps": ["apps/**"], "tools": ["tools/*"],
+        "tests": ["**/*.test.ts", "**/*.test.[jt]sx"],
+    },
+    forbidden=[
+        {"from": "core", "to": "apps", "reason": "shared packages must not know the apps"},
+        {"from": "tools", "to": "services", "reason": ""},
+        {"from": "libs/*/src/*", "to": "tests"},
+    ],
+    canonical=[{"concept": "*/index.ts", "path": "packages/shared/src/index.ts"}],
+    layers=["core", "libs", "services", "apps"],
+)
+
+_EDGES = """ce AS (
+  SELECT e.snapshot_id, e.from_id, e.to_id, coalesce(lower(trim(e.kind)), 'imports') AS kind,
+         (array_agg(e.specifier ORDER BY e.scanned_at NULLS LAST, e.specifier NULLS FIRST))[1] AS specifier
+  FROM edges e JOIN mods f ON f.snapshot_id = e.snapshot_id AND f.id = e.from_id
+  JOIN mods t ON t.snapshot_id = e.snapshot_id AND t.id = e.to_id GROUP BY ALL)"""
+_METRICS = """met AS (
+  SELECT m.snapshot_id, m.id, m.path, coalesce(i.n, 0) AS fan_in, coalesce(o.n, 0) AS fan_out,
+         coalesce(o.n, 0) / t.n AS coupling,
+         CASE WHEN coalesce(i.n, 0) + coalesce(o.n, 0) > 0 THEN coalesce(o.n, 0) / (coalesce(i.n, 0) + coalesce(o.n, 0)) ELSE 0.0 END AS instability
+  FROM mods m JOIN (SELECT snapshot_id, count(*) AS n FROM mods GROUP BY 1) t ON t.snapshot_id = m.snapshot_id
+  LEFT JOIN (SELECT snapshot_id, to_id AS id, count(*) AS n FROM ce GROUP BY ALL) i ON i.snapshot_id = m.snapshot_id AND i.id = m.id
+  LEFT JOIN (SELECT snapshot_id, from_id AS id, count(*) AS n FROM ce GROUP BY ALL) o ON o.snapshot_id = m.snapshot_id AND o.id = m.id)"""
+_BASE = f"{MODULES}, {_EDGES}"
+# the rules above, spelled out
+_IN = {
+    "core": "regexp_matches({0}, '^packages/')", "libs": "regexp_matches({0}, '^libs/')", "services": "regexp_matches({0}, '^services/')",
+    "apps": "regexp_matches({0}, '^apps/')", "tools": "regexp_matches({0}, '^tools/')",
+    "tests": "({0} LIKE '%.test.ts' OR {0} LIKE '%.test.jsx' OR {0} LIKE '%.test.tsx')",
+}
+_ANY = lambda p: "(" + " OR ".join(x.format(p) for x in _IN.values()) + ")"
+_LAYER = lambda p: "CASE " + " ".join(f"WHEN {_IN[x].format(p)} THEN {i}" for i, x in enumerate(RULES.layers)) + " END"
+_LAYERNAME = lambda p: "CASE " + " ".join(f"WHEN {_IN[x].format(p)} THEN '{x}'" for x in RULES.layers) + " END"
+_VIOLATIONS = f"""pe AS (
+  SELECT ce.*, f.path AS from_path, t.path AS to_path FROM ce JOIN mods f ON f.snapshot_id = ce.snapshot_id AND f.id = ce.from_id
+  JOIN mods t ON t.snapshot_id = ce.snapshot_id AND t.id = ce.to_id),
+vi AS (
+  SELECT snapshot_id, 'forbidden: core → apps' AS rule, 'Error' AS severity, from_path, to_path, 'shared packages must not know the apps' AS message, 0 AS rule_order
+  FROM pe WHERE {_IN['core'].format('from_path')} AND {_IN['apps'].format('to_path')}
+  UNION ALL SELECT snapshot_id, 'forbidden: tools → services', 'Error', from_path, to_path, '''tools'' must not import ''services''', 1
+  FROM pe WHERE {_IN['tools'].format('from_path')} AND {_IN['services'].format('to_path')}
+  UNION ALL SELECT snapshot_id, 'forbidden: libs/*/src/* → tests', 'Error', from_path, to_path, '''libs/*/src/*'' must not import ''tests''', 2
+  FROM pe WHERE {_ANY('from_path')} AND from_path LIKE 'libs/%/src/%' AND {_IN['tests'].format('to_path')}
+  UNION ALL SELECT snapshot_id, 'layer: ' || {_LAYERNAME('from_path')} || ' < ' || {_LAYERNAME('to_path')}, 'Error', from_path, to_path,
+    '''' || from_path || ''' (layer ''' || {_LAYERNAME('from_path')} || ''') must not import ''' || to_path || ''' (layer ''' || {_LAYERNAME('to_path')} || ''')', 2000000
+  FROM pe WHERE {_LAYER('from_path')} < {_LAYER('to_path')}
+  UNION ALL SELECT m.snapshot_id, 'canonical: */index.ts', 'Warning', m.path, 'packages/shared/src/index.ts',
+    '''' || m.path || ''' matches the ''*/index.ts'' concept, which already has a canonical implementation at ''packages/shared/src/index.ts''', 1000000
+  FROM mods m JOIN (SELECT snapshot_id FROM mods WHERE path LIKE '%/index.ts' GROUP BY 1 HAVING count(*) > 1) s ON s.snapshot_id = m.snapshot_id
+  WHERE m.path LIKE '%/index.ts' AND m.path <> 'packages/shared/src/index.ts')"""
+# strong components by mutual reachability; modules without in- or outgoing edges are left out of the closure
+_SCC = """core0 AS (SELECT DISTINCT snapshot_id AS s, from_id AS f, to_id AS t FROM ce WHERE from_id <> to_id),
+core1 AS (SELECT * FROM core0 c WHERE (s, f) IN (SELECT (s, t) FROM core0) AND (s, t) IN (SELECT (s, f) FROM core0)),
+core2 AS (SELECT * FROM core1 c WHERE (s, f) IN (SELECT (s, t) FROM core1) AND (s, t) IN (SELECT (s, f) FROM core1)),
+core3 AS (SELECT * FROM core2 c WHERE (s, f) IN (SELECT (s, t) FROM core2) AND (s, t) IN (SELECT (s, f) FROM core2)),
+reach(s, f, t) AS (SELECT s, f, t FROM core3 UNION SELECT r.s, r.f, c.t FROM reach r JOIN core3 c ON c.s = r.s AND c.f = r.t),
+mutual AS (SELECT a.s, a.f AS id, min(a.t) AS m FROM reach a JOIN reach b ON b.s = a.s AND b.f = a.t AND b.t = a.f GROUP BY ALL),
+sid AS (SELECT m.snapshot_id, m.id, coalesce(least(x.m, m.id), m.id) AS scc_id FROM mods m LEFT JOIN mutual x ON x.s = m.snapshot_id AND x.id = m.id),
+scc AS (SELECT snapshot_id, id, scc_id, count(*) OVER (PARTITION BY snapshot_id, scc_id) AS scc_size FROM sid)"""
+
+
+class Model:
+    """The tables of one delivery folder, as DataFrames that share snapshot_id."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark = spark
+        self.t = lambda name: table(spark, sf_dir, name)
+        self.modules = current_modules(self.t("modules"))
+        self.edges = graph.clean_edges(self.t("modules"), self.t("edges"))
+
+    def metrics(self) -> DataFrame:
+        return graph.module_metrics(self.modules, self.edges)
+
+    def components(self) -> DataFrame:
+        return graph.strong_components(self.modules, self.edges)
+
+    def violations(self) -> DataFrame:
+        return rules.violations(self.modules, self.edges, RULES)
+
+    def violating(self) -> DataFrame:
+        """snapshot_id, from_id, to_id of edges with a violation of any kind."""
+        ids = self.modules.select("snapshot_id", "id", "path")
+        v = self.violations().select("snapshot_id", "from_path", "to_path").distinct()
+        return v.join(ids.select("snapshot_id", F.col("id").alias("from_id"), F.col("path").alias("from_path")), ["snapshot_id", "from_path"]).join(
+            ids.select("snapshot_id", F.col("id").alias("to_id"), F.col("path").alias("to_path")), ["snapshot_id", "to_path"]
+        )
+
+    def loc(self) -> DataFrame:
+        """snapshot_id, id, path, loc: the largest recorded loc of each module."""
+        recorded = self.t("module_metrics").groupBy("snapshot_id", "id").agg(F.max("loc").alias("loc"))
+        return self.modules.join(recorded, ["snapshot_id", "id"], "left")
+
+    def delta(self) -> DataFrame:
+        return history_delta(self.t("snapshots"), self.t("modules"), self.t("edges"))
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = lambda spark, sf_dir: f(Model(spark, sf_dir))
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return register
+
+
+@query("edge_dedup", f"WITH {_BASE} SELECT * FROM ce")
+def _(m):
+    return m.edges
+
+
+@query("module_metrics", f"WITH {_BASE}, {_METRICS} SELECT snapshot_id, id, path, fan_in, fan_out, round(coupling, 6) AS coupling, round(instability, 6) AS instability FROM met")
+def _(m):
+    return m.metrics().withColumns({"coupling": F.round("coupling", 6), "instability": F.round("instability", 6)})
+
+
+@query("strong_components", f"WITH RECURSIVE {_BASE}, {_SCC} SELECT snapshot_id, id, scc_id, scc_size FROM scc")
+def _(m):
+    return m.components()
+
+
+@query("cycle_counts", f"""WITH RECURSIVE {_BASE}, {_SCC}
+SELECT snapshot_id, count(DISTINCT scc_id) FILTER (WHERE scc_size > 1) AS cycles, count(*) FILTER (WHERE scc_size > 1) AS modules_in_cycles FROM scc GROUP BY 1""")
+def _(m):
+    c = m.components()
+    return c.groupBy("snapshot_id").agg(F.count_distinct(F.when(F.col("scc_size") > 1, F.col("scc_id"))).alias("cycles"), F.count_if(F.col("scc_size") > 1).alias("modules_in_cycles"))
+
+
+@query("boundary_members", f"WITH {MODULES} " + " UNION ALL ".join(f"SELECT snapshot_id, id, path, '{b}' AS boundary FROM mods WHERE {c.format('path')}" for b, c in _IN.items()))
+def _(m):
+    return rules.boundary_members(m.modules, RULES)
+
+
+@query("assign_layers", f"WITH {MODULES} SELECT snapshot_id, id, path, {_LAYERNAME('path')} AS layer FROM mods WHERE {_LAYERNAME('path')} IS NOT NULL")
+def _(m):
+    return rules.assign_layers(m.modules, RULES)
+
+
+@query("populated_layers", f"WITH {MODULES} SELECT snapshot_id, {_LAYER('path')} AS layer_index, count(*) AS modules FROM mods WHERE {_LAYER('path')} IS NOT NULL GROUP BY ALL")
+def _(m):
+    return m.modules.groupBy("snapshot_id", RULES.layer_index(F.col("path")).alias("layer_index")).agg(F.count(F.lit(1)).alias("modules")).where("layer_index is not null")
+
+
+@query("violations", f"WITH {_BASE}, {_VIOLATIONS} SELECT * FROM vi")
+def _(m):
+    return m.violations()
+
+
+@query("scorecard", f"""WITH {_BASE}, {_VIOLATIONS}
+SELECT snapshot_id, count(*) FILTER (WHERE severity = 'Error') AS errors, count(*) FILTER (WHERE severity = 'Warning') AS warnings,
+       count(*) FILTER (WHERE severity = 'Error') = 0 AS passes FROM vi GROUP BY 1""")
+def _(m):
+    return rules.scorecard(m.violations())
+
+
+@query("violations_of_module", f"""WITH {_BASE}, {_VIOLATIONS}
+SELECT snapshot_id, path, count(*) AS touching FROM (
+  SELECT snapshot_id, from_path AS path FROM vi UNION ALL SELECT snapshot_id, to_path FROM vi WHERE to_path <> from_path) GROUP BY ALL""")
+def _(m):
+    v = m.violations()
+    ends = v.select("snapshot_id", F.col("from_path").alias("path")).unionByName(v.where("to_path <> from_path").select("snapshot_id", F.col("to_path").alias("path")))
+    return ends.groupBy("snapshot_id", "path").agg(F.count(F.lit(1)).alias("touching"))
+
+
+@query("infer_boundaries", f"WITH {MODULES} SELECT snapshot_id, split_part(path, '/', 1) AS boundary, count(*) AS files, split_part(path, '/', 1) || '/**' AS glob FROM mods GROUP BY ALL")
+def _(m):
+    return rules.infer_boundaries(m.modules)
+
+
+_LOC = """ml AS (SELECT m.*, x.loc FROM mods m LEFT JOIN (SELECT snapshot_id, id, max(loc) AS loc FROM module_metrics GROUP BY ALL) x
+  ON x.snapshot_id = m.snapshot_id AND x.id = m.id)"""
+_PLACE = "CASE group_key " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(RULES.layers)) + " ELSE 1073741824 END"
+_NODES = lambda place: f"""SELECT snapshot_id, row_number() OVER (PARTITION BY snapshot_id ORDER BY {place}, group_key) - 1 AS group_id, group_key,
+  CASE WHEN group_key LIKE 'scc:%' THEN 'cycle cluster (' || file_count || ' files)' ELSE split_part(group_key, '/', -1) END AS label, file_count, loc,
+  group_key LIKE 'scc:%' AS is_cluster
+FROM (SELECT g.snapshot_id, group_key, count(*) AS file_count, sum(coalesce(loc, 0))::BIGINT AS loc FROM g JOIN ml ON ml.snapshot_id = g.snapshot_id AND ml.id = g.id GROUP BY ALL)"""
+_GROUPS = {
+    "directory": "g AS (SELECT snapshot_id, id, array_to_string(list_slice(string_split(path, '/'), 1, 2), '/') AS group_key FROM mods)",
+    "layer": f"g AS (SELECT snapshot_id, id, coalesce({_LAYERNAME('path')}, '(unassigned)') AS group_key FROM mods)",
+    "scc": "g AS (SELECT s.snapshot_id, s.id, CASE WHEN scc_size > 1 THEN 'scc:' || scc_id ELSE path END AS group_key FROM scc s JOIN mods m ON m.snapshot_id = s.snapshot_id AND m.id = s.id)",
+}
+_GEDGES = f"""bad AS (SELECT DISTINCT v.snapshot_id, f.id AS from_id, t.id AS to_id FROM vi v JOIN mods f ON f.snapshot_id = v.snapshot_id AND f.path = v.from_path
+  JOIN mods t ON t.snapshot_id = v.snapshot_id AND t.path = v.to_path),
+ge AS (SELECT ce.snapshot_id, a.group_key AS from_group, b.group_key AS to_group, count(*) AS weight, bool_or(bad.from_id IS NOT NULL) AS violation,
+    bool_or(coalesce({_LAYER('f.path')} < {_LAYER('t.path')}, false)) AS cross_layer_up
+  FROM ce JOIN g a ON a.snapshot_id = ce.snapshot_id AND a.id = ce.from_id JOIN g b ON b.snapshot_id = ce.snapshot_id AND b.id = ce.to_id
+  JOIN mods f ON f.snapshot_id = ce.snapshot_id AND f.id = ce.from_id JOIN mods t ON t.snapshot_id = ce.snapshot_id AND t.id = ce.to_id
+  LEFT JOIN bad ON bad.snapshot_id = ce.snapshot_id AND bad.from_id = ce.from_id AND bad.to_id = ce.to_id
+  WHERE a.group_key <> b.group_key GROUP BY ALL)"""
+
+
+def _grouped(m, by):
+    return rollup.group_of(m.modules, by, 2, RULES, m.components() if by == "scc" else None)
+
+
+def _group_edges(m, groups):
+    layers = m.modules.select("snapshot_id", "id", RULES.layer_index(F.col("path")).alias("layer_index"))
+    return rollup.group_edges(m.edges, groups, m.violating(), layers)
+
+
+for _by in ("directory", "layer", "scc"):
+    _with = f"WITH RECURSIVE {_BASE}, {_SCC}" if _by == "scc" else f"WITH {_BASE}"
+
+    @query(f"rollup_{_by}", f"{_with}, {_LOC}, {_GROUPS[_by]} {_NODES(_PLACE if _by == 'layer' else '0')}")
+    def _(m, by=_by):
+        return rollup.group_nodes(m.loc(), _grouped(m, by), RULES if by == "layer" else None)
+
+    @query(f"rollup_edges_{_by}", f"{_with}, {_VIOLATIONS}, {_GROUPS[_by]}, {_GEDGES} SELECT *, CASE WHEN violation THEN 'violation' WHEN cross_layer_up THEN 'upward' ELSE 'normal' END AS edge_class FROM ge")
+    def _(m, by=_by):
+        e = _group_edges(m, _grouped(m, by))
+        return e.withColumn("edge_class", rollup.group_edge_class(F.col("violation"), F.col("cross_layer_up")))
+
+
+@query("group_signals", f"""WITH {_BASE}, {_LOC}, {_VIOLATIONS}, {_GROUPS['directory']}, {_GEDGES},
+ends AS (SELECT snapshot_id, from_group AS group_key, 0 AS i, weight AS o, violation FROM ge UNION ALL SELECT snapshot_id, to_group, weight, 0, violation FROM ge),
+s AS (SELECT snapshot_id, group_key, sum(i)::BIGINT AS fan_in, sum(o)::BIGINT AS fan_out, bool_or(violation) AS v FROM ends GROUP BY ALL)
+SELECT n.snapshot_id, n.group_key, coalesce(fan_in, 0) AS fan_in, coalesce(fan_out, 0) AS fan_out, fan_in IS NULL AS is_orphan, coalesce(v, false) AS is_violation, false AS is_cycle
+FROM (SELECT DISTINCT snapshot_id, group_key FROM g) n LEFT JOIN s ON s.snapshot_id = n.snapshot_id AND s.group_key = n.group_key""")
+def _(m):
+    groups = _grouped(m, "directory")
+    return rollup.group_signals(rollup.group_nodes(m.loc(), groups), _group_edges(m, groups))
+
+
+
+@query("trends", f"""WITH {_BASE}, {_METRICS}, {_VIOLATIONS},
+h AS (SELECT snapshot_id, max(snapshot_label) AS label, min(saved_at) AS saved_at FROM snapshots GROUP BY 1)
+SELECT h.snapshot_id, h.label, h.saved_at, coalesce(m.n, 0) AS file_count, coalesce(e.n, 0) AS edge_count, round(coalesce(fi / m.n, 0), 2) AS avg_fan_in,
+  round(coalesce(fo / m.n, 0), 2) AS avg_fan_out, round(coalesce(co / m.n * 100, 0), 2) AS avg_coupling, coalesce(v.n, 0) AS violation_count
+FROM h LEFT JOIN (SELECT snapshot_id, count(*) AS n, sum(fan_in) AS fi, sum(fan_out) AS fo, sum(coupling) AS co FROM met GROUP BY 1) m ON m.snapshot_id = h.snapshot_id
+LEFT JOIN (SELECT snapshot_id, count(*) AS n FROM ce GROUP BY 1) e ON e.snapshot_id = h.snapshot_id
+LEFT JOIN (SELECT snapshot_id, count(*) AS n FROM vi GROUP BY 1) v ON v.snapshot_id = h.snapshot_id""")
+def _(m):
+    return trends.trend_points(m.t("snapshots"), m.metrics(), m.edges, m.violations())
+
+
+@query("snapshot_list", f"""WITH {STEPS}
+SELECT s.repo, s.snapshot_id, s.step, coalesce(s.previous_id, -1) AS previous_id, l.label, CASE WHEN length(l.label) > 12 THEN right(l.label, 10) ELSE l.label END AS short_label,
+  array_to_string(list_slice(list_filter(string_split(s.repo, '/'), lambda x: x <> ''), -2, -1), '/') AS display_root
+FROM steps s JOIN (SELECT snapshot_id, max(snapshot_label) AS label FROM snapshots GROUP BY 1) l ON l.snapshot_id = s.snapshot_id""")
+def _(m):
+    labels = m.t("snapshots").groupBy("snapshot_id").agg(F.max("snapshot_label").alias("label"))
+    s = deliveries(m.t("snapshots")).join(labels, "snapshot_id")
+    return s.select("repo", "snapshot_id", "step", F.coalesce("previous_id", F.lit(-1)).alias("previous_id"), "label", trends.short_label(F.col("label")).alias("short_label"), trends.display_root(F.col("repo")).alias("display_root"))
+
+
+@query("hub_thresholds", f"""WITH {_BASE}, {_METRICS}
+SELECT snapshot_id, greatest(2, list_sort(list(fan_in))[floor(0.9 * count(*))::INT + 1]) AS hub_at FROM met GROUP BY 1""")
+def _(m):
+    return signals.hub_thresholds(m.metrics())
+
+
+_SIGNALS = f"""hub AS (SELECT snapshot_id, greatest(2, list_sort(list(fan_in))[floor(0.9 * count(*))::INT + 1]) AS hub_at FROM met GROUP BY 1),
+dup AS (SELECT DISTINCT r.snapshot_id, {CANON.format('p.f')} AS path FROM (SELECT report_id, file_a AS f, similarity FROM dupe_pairs WHERE file_a IS NOT NULL AND file_b IS NOT NULL UNION ALL
+  SELECT report_id, file_b, similarity FROM dupe_pairs WHERE file_a IS NOT NULL AND file_b IS NOT NULL) p JOIN dupe_reports r ON r.report_id = p.report_id WHERE p.similarity >= coalesce(r.threshold, 0.60::FLOAT)),
+add AS (SELECT p.snapshot_id, m.path FROM steps p JOIN mods m ON m.snapshot_id = p.snapshot_id LEFT JOIN mods o ON o.snapshot_id = p.previous_id AND o.path = m.path WHERE p.previous_id IS NOT NULL AND o.path IS NULL),
+sig AS (SELECT met.snapshot_id, met.id, met.path, round(instability, 6) AS instability, fan_in >= hub_at AS is_hub, fan_in = 0 AND fan_out = 0 AS is_orphan, scc_size > 1 AS is_cycle,
+  EXISTS (SELECT 1 FROM vi WHERE severity = 'Error' AND vi.snapshot_id = met.snapshot_id AND vi.from_path = met.path) AS is_violation_src,
+  EXISTS (SELECT 1 FROM dup WHERE dup.snapshot_id = met.snapshot_id AND dup.path = met.path) AS is_dupe,
+  CASE WHEN EXISTS (SELECT 1 FROM add WHERE add.snapshot_id = met.snapshot_id AND add.path = met.path) THEN 'added' ELSE 'unchanged' END AS change_status
+  FROM met JOIN hub ON hub.snapshot_id = met.snapshot_id JOIN scc ON scc.snapshot_id = met.snapshot_id AND scc.id = met.id)"""
+
+
+def _signals(m):
+    from archlake.functions.paths import canonical_path
+
+    r, p = m.t("dupe_reports"), m.t("dupe_pairs").where("file_a is not null and file_b is not null")
+    linked = p.join(r.select("report_id", "snapshot_id", F.coalesce("threshold", F.lit(0.6).cast("float")).alias("t")), "report_id").where("similarity >= t and not isnan(similarity)")
+    dupes = linked.select("snapshot_id", F.explode(F.array(canonical_path("file_a"), canonical_path("file_b"))).alias("path"))
+    s = signals.module_signals(m.metrics(), m.components(), m.violations(), dupes, m.delta().where("entity = 'module'"))
+    return s.withColumn("instability", F.round("instability", 6))
+
+
+_SIGWITH = f"WITH RECURSIVE {_BASE}, {_METRICS}, {_SCC}, {_VIOLATIONS}, {STEPS}, {_SIGNALS}"
+
+
+@query("module_signals", f"{_SIGWITH} SELECT * FROM sig")
+def _(m):
+    return _signals(m)
+
+
+@query("module_badges", f"""{_SIGWITH} SELECT snapshot_id, id, array_to_string(list_filter([CASE WHEN is_cycle THEN 'cycle' END, CASE WHEN is_hub THEN 'hub' END,
+  CASE WHEN is_violation_src THEN 'violation' WHEN is_dupe THEN 'dupe' END], lambda x: x IS NOT NULL), ',') AS badges FROM sig""")
+def _(m):
+    return signals.badges(_signals(m)).withColumn("badges", F.array_join("badges", ","))
+
+
+@query("visible_hubs", f"{_SIGWITH} SELECT snapshot_id, id, path FROM sig WHERE lower(path) LIKE '%src%' AND is_hub AND NOT is_orphan")
+def _(m):
+    return signals.filter_modules(_signals(m), "SRC", is_hub=True).where("not is_orphan").select("snapshot_id", "id", "path")
+
+
+@query("edge_classes", f"""WITH RECURSIVE {_BASE}, {_SCC}, {_VIOLATIONS},
+bad AS (SELECT DISTINCT snapshot_id, from_path, to_path FROM vi)
+SELECT pe.snapshot_id, pe.from_id, pe.to_id, pe.kind, CASE WHEN bad.from_path IS NOT NULL THEN 'violation' WHEN a.scc_size > 1 AND a.scc_id = b.scc_id THEN 'cycle'
+  WHEN pe.kind = 'reexports' THEN 'reexport' ELSE 'import' END AS edge_class
+FROM pe LEFT JOIN bad ON bad.snapshot_id = pe.snapshot_id AND bad.from_path = pe.from_path AND bad.to_path = pe.to_path
+JOIN scc a ON a.snapshot_id = pe.snapshot_id AND a.id = pe.from_id JOIN scc b ON b.snapshot_id = pe.snapshot_id AND b.id = pe.to_id""")
+def _(m):
+    return signals.edge_classes(m.edges, m.components(), m.violating())
+
+
+@query("neighbourhood", f"""WITH {_BASE}, ch AS (SELECT snapshot_id, id FROM mods WHERE id % 20 = 0)
+SELECT DISTINCT * FROM (SELECT snapshot_id, id, 'self' AS direction FROM ch UNION ALL
+SELECT ce.snapshot_id, ce.to_id, 'out' FROM ce JOIN ch ON ch.snapshot_id = ce.snapshot_id AND ch.id = ce.from_id UNION ALL
+SELECT ce.snapshot_id, ce.from_id, 'in' FROM ce JOIN ch ON ch.snapshot_id = ce.snapshot_id AND ch.id = ce.to_id)""")
+def _(m):  # the query set is every module whose id is divisible by 20, against all edges
+    return graph.neighbours(m.edges, m.modules.where("id % 20 = 0").select("snapshot_id", "id"))
+
+
+@query("visible_edges", f"""WITH {_BASE} SELECT ce.* FROM ce JOIN mods f ON f.snapshot_id = ce.snapshot_id AND f.id = ce.from_id AND contains(lower(f.path), 'src')
+JOIN mods t ON t.snapshot_id = ce.snapshot_id AND t.id = ce.to_id AND contains(lower(t.path), 'src')""")
+def _(m):
+    return graph.visible_edges(m.edges, m.modules.where(F.lower("path").contains("src")))
+
+
+@query("display_classes", f"""WITH {_BASE}, {_METRICS}, {_LOC}
+SELECT met.snapshot_id, met.id, round(least(greatest(148 + coalesce(loc, 0) / 400 * 76, 148), 224))::BIGINT AS node_width,
+  CASE WHEN instability < 0.25 THEN 'stable' WHEN instability > 0.75 THEN 'unstable' ELSE 'balanced' END AS stability,
+  CASE WHEN instability > 0.7 THEN 'hot' WHEN instability < 0.3 THEN 'cold' ELSE 'warm' END AS colour, round((met.id * 137.508::DOUBLE) % 360, 3) AS hue, met.id % 6 AS palette
+FROM met JOIN ml ON ml.snapshot_id = met.snapshot_id AND ml.id = met.id""")
+def _(m):
+    rows = m.metrics().join(m.loc().select("snapshot_id", "id", "loc"), ["snapshot_id", "id"])
+    return rows.select(
+        "snapshot_id", "id", signals.node_width(F.coalesce("loc", F.lit(0))).alias("node_width"), signals.stability_label(F.col("instability")).alias("stability"),
+        signals.instability_colour(F.col("instability")).alias("colour"), F.round(signals.module_hue(F.col("id")), 3).alias("hue"), signals.palette_index(F.col("id")).alias("palette"),
+    )
+
+
+def _delta_oracles() -> None:
+    from archlake.plans.problems import ORACLES as problems
+
+    delta = problems["p3_found"]
+    ORACLES["delta_summary"] = f"""SELECT snapshot_id, modules_added, modules_removed, edges_added, edges_removed,
+  modules_added || ' file(s) added, ' || modules_removed || ' removed | ' || edges_added || ' import edges added, ' || edges_removed || ' removed' AS summary
+FROM (SELECT snapshot_id, count(*) FILTER (WHERE entity = 'module' AND delta = 'added') AS modules_added, count(*) FILTER (WHERE entity = 'module' AND delta = 'removed') AS modules_removed,
+  count(*) FILTER (WHERE entity = 'edge' AND delta = 'added') AS edges_added, count(*) FILTER (WHERE entity = 'edge' AND delta = 'removed') AS edges_removed FROM ({delta}) GROUP BY 1)"""
+    ORACLES["changed_paths"] = f"SELECT DISTINCT snapshot_id, path FROM ({delta}) WHERE entity = 'module' AND delta IN ('added', 'removed')"
+
+
+@query("delta_summary")
+def _(m):
+    return trends.delta_summary(m.delta())
+
+
+@query("changed_paths")
+def _(m):
+    return trends.changed_paths(m.delta())
+
+
+_delta_oracles()
