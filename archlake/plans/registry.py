@@ -369,3 +369,265 @@ def _(m):
 
 
 _delta_oracles()
+
+
+# --- texts, labels, flows -----------------------------------------------------------------------
+
+
+@query("loc", """SELECT file_id, CASE WHEN content IS NULL OR content = '' THEN 0 ELSE len(string_split(content, chr(10))) - CASE WHEN content LIKE '%' || chr(10) THEN 1 ELSE 0 END END AS loc
+FROM source_files""")
+def _(m):
+    from archlake.sources.files import line_count
+
+    return m.t("source_files").select("file_id", line_count(F.col("content")).alias("loc"))
+
+
+@query("source_modules", f"""WITH {MODULES} SELECT snapshot_id, id, path FROM mods WHERE regexp_matches(path, '\\.(ts|tsx|js|jsx|mjs|cjs)$')
+AND len(list_intersect(string_split(path, '/'), ['node_modules', '.git', 'dist', 'build', '.next', 'target', '.cache', '__pycache__', '.affini'])) = 0""")
+def _(m):
+    from archlake.sources.files import is_source
+
+    return m.modules.where(is_source(F.col("path")))
+
+
+@query("label_codec", """SELECT snapshot_id, coalesce(max(snapshot_label), '') AS label, url_encode(coalesce(max(snapshot_label), '')) AS encoded, true AS round_trip FROM snapshots GROUP BY 1""")
+def _(m):
+    from archlake.functions.labels import decode_label, encode_label
+
+    s = m.t("snapshots").groupBy("snapshot_id").agg(F.coalesce(F.max("snapshot_label"), F.lit("")).alias("label"))
+    s = s.withColumn("encoded", encode_label(F.col("label")))
+    return s.withColumn("round_trip", decode_label(F.col("encoded")) == F.col("label"))
+
+
+_STEM = "split_part(split_part(path, '/', -1), '.', 1)"
+
+
+@query("camel_words", rf"""WITH {MODULES}, w AS (SELECT snapshot_id, id, {_STEM} AS name FROM mods),
+l AS (SELECT *, lower(regexp_replace(translate(name, '_-', '  '), '([^A-Z])([A-Z])', '\1 \2', 'g')) AS x FROM w)
+SELECT snapshot_id, id, name, upper(substr(x, 1, 1)) || substr(x, 2) AS words FROM l""")
+def _(m):
+    from archlake.functions.labels import camel_words
+    from archlake.functions.paths import basename
+
+    name = F.split(basename(F.col("path")), r"\.")[0]
+    return m.modules.select("snapshot_id", "id", name.alias("name"), camel_words(name).alias("words"))
+
+
+_ENTRY = rf"""fn AS (SELECT m.snapshot_id AS part, m.id AS node, {_STEM.replace('path', 'm.path')} AS name, m.path, len(m.exports) AS surface, met.fan_out AS out_calls
+  FROM mods m JOIN met ON met.snapshot_id = m.snapshot_id AND met.id = m.id),
+en AS (SELECT *, CASE WHEN lower(name) LIKE '%route%' OR lower(path) LIKE '%route%' OR lower(path) LIKE '%handler%' OR lower(name) LIKE '%handler' OR lower(name) LIKE '%controller' THEN 'route'
+    WHEN lower(name) = 'main' OR lower(path) LIKE '%/cli/%' OR lower(path) LIKE '%/bin/%' THEN 'cli' WHEN lower(name) LIKE '%handler%' THEN 'handler' ELSE 'exported_entry' END AS kind,
+    row_number() OVER (PARTITION BY part ORDER BY surface DESC, out_calls DESC, name, node) AS rank FROM fn
+  WHERE surface > 0 AND out_calls > 0 AND NOT contains(path, 'test') AND NOT contains(path, 'spec') AND NOT path LIKE '%.d.ts')"""
+
+
+def _module_functions(m):
+    """Modules read as functions: their exports are the surface, their edges the calls."""
+    from archlake.functions.paths import basename
+
+    modules = current_modules(m.t("modules"), "exports")
+    rows = m.metrics().join(modules.select("snapshot_id", "id", F.size(F.array_distinct(F.coalesce("exports", F.array().cast("array<string>")))).alias("surface")), ["snapshot_id", "id"])
+    name = F.split(basename(F.col("path")), r"\.")[0]
+    return rows.select(F.col("snapshot_id").alias("part"), F.col("id").alias("node"), F.col("id").alias("module"), name.alias("name"), "path", (F.col("surface") > 0).alias("exported"), "surface", F.col("fan_out").alias("out_calls"))
+
+
+@query("entry_points", rf"WITH {_BASE}, {_METRICS}, {_ENTRY} SELECT part, node, path, kind, rank FROM en WHERE rank <= 30")
+def _(m):
+    from archlake.operators.flows import entry_points
+
+    return entry_points(_module_functions(m)).select("part", "node", "path", "kind", "rank")
+
+
+def _flows(m):
+    from archlake.operators.flows import entry_points, flow_steps
+    from archlake.session import Scratch
+
+    entries = entry_points(_module_functions(m))
+    calls = m.edges.select(
+        F.col("snapshot_id").alias("part"), F.col("from_id").alias("caller"), F.col("to_id").alias("callee"), F.col("to_id").alias("call_order"),
+        F.when(F.col("kind") == "reexports", 1).alias("branch"),
+    )
+    scratch = Scratch(m.spark, "flow-query")
+    entries = scratch.write(entries, "entries")
+    return entries, scratch.write(flow_steps(entries, calls), "steps")
+
+
+def _flagged(m):
+    from archlake.operators.flows import step_flags
+
+    entries, steps = _flows(m)
+    nodes = m.metrics().join(m.components(), ["snapshot_id", "id"]).select(F.col("snapshot_id").alias("part"), F.col("id").alias("node"), "path", "scc_id", "scc_size", "instability")
+    bad = m.violations().select(F.col("snapshot_id").alias("part"), "from_path", "to_path")
+    new = trends.changed_paths(m.delta()).withColumnRenamed("snapshot_id", "part")
+    return entries, step_flags(steps, nodes, bad, new)
+
+
+@query("flow_steps")
+def _(m):
+    return _flows(m)[1]
+
+
+@query("flow_branch_groups")
+def _(m):
+    from archlake.operators.flows import branch_groups
+
+    return branch_groups(_flows(m)[1])
+
+
+@query("flow_tree_edges")
+def _(m):
+    from archlake.operators.flows import tree_edges
+
+    return tree_edges(_flows(m)[1])
+
+
+@query("fragility_flags")
+def _(m):
+    return _flagged(m)[1].select("part", "entry", "step", F.explode("flags").alias("f")).select("part", "entry", "step", "f.*")
+
+
+@query("fragility_summary")
+def _(m):
+    from archlake.operators.flows import flow_summaries, fragility_summary
+
+    entries, flagged = _flagged(m)
+    return flow_summaries(entries, fragility_summary(flagged))
+
+
+@query("flow_step_severities")
+def _(m):
+    from archlake.operators.flows import step_severities
+
+    return step_severities(_flagged(m)[1])
+
+
+def _files(m):
+    from archlake.functions.paths import canonical_path
+
+    return m.t("source_files").where("report_id is not null and file_id is not null").select(
+        F.col("file_id").alias("id"), F.col("report_id").alias("part"), canonical_path("path").alias("path"), "content"
+    )
+
+
+def _call_graph(m):
+    from archlake.operators.calls import CallGraph
+
+    reports = m.t("dupe_reports").select("report_id", "snapshot_id")
+    modules = m.modules.join(reports, "snapshot_id").select(F.col("report_id").alias("part"), "path")
+    return CallGraph(_files(m).dropDuplicates(["part", "path"]), modules)
+
+
+@query("import_targets")
+def _(m):
+    return _call_graph(m).imports
+
+
+@query("extracted_functions")
+def _(m):
+    f = _call_graph(m).functions
+    return f.select("part", "path", "order", "name", "start", "end", "exported", "is_default", "is_method", "class_name", F.size("params").alias("params"), "return_type")
+
+
+@query("call_resolutions")
+def _(m):
+    c = _call_graph(m).calls
+    return c.select("part", "path", "order", "call_order", "callee_text", "branchy", "branch_id", "resolution", "target_module", "target_order", F.size("arg_texts").alias("args"))
+
+
+@query("call_graph_edges")
+def _(m):
+    return _call_graph(m).edges()
+
+
+@query("call_graph_degrees")
+def _(m):
+    return _call_graph(m).degrees()
+
+
+@query("call_graph_report")
+def _(m):
+    return _call_graph(m).report()
+
+
+@query("type_contracts")
+def _(m):
+    from archlake.operators.extraction import types_of
+    from archlake.operators.shapes import contracts
+
+    g = _call_graph(m)
+    return contracts(g.functions, types_of(g.facts), g.bindings).withColumn("shape", F.to_json("shape"))
+
+
+@query("resolved_specifiers")
+def _(m):
+    """Relative specifiers of recorded edges: how many lead to a module, and to the recorded one."""
+    from archlake.operators.resolve import resolve_imports
+
+    e = rules.with_paths(m.edges, m.modules).where("specifier like '.%'")
+    i = resolve_imports(e.select(F.col("snapshot_id").alias("part"), F.col("from_path").alias("path"), "specifier", "to_path"), m.modules.select(F.col("snapshot_id").alias("part"), "path"), strict=False)
+    return i.groupBy("part").agg(F.count(F.lit(1)).alias("relative"), F.count("target").alias("resolved"), F.count_if(F.col("target") == F.col("to_path")).alias("as_recorded"))
+
+
+@query("source_dupe_pairs")
+def _(m):
+    from archlake.operators.dupes import similar_pairs
+
+    return similar_pairs(_files(m))
+
+
+@query("source_dupe_clusters")
+def _(m):
+    from archlake.operators.dupes import clusters, similar_pairs
+
+    f = _files(m)
+    return clusters(similar_pairs(f), f)
+
+
+_RECORDED = f"""lk AS (SELECT report_id, pa, pb, max(similarity) AS similarity FROM (
+    SELECT p.report_id, least({CANON.format('file_a')}, {CANON.format('file_b')}) AS pa, greatest({CANON.format('file_a')}, {CANON.format('file_b')}) AS pb, p.similarity
+    FROM dupe_pairs p JOIN dupe_reports r ON r.report_id = p.report_id WHERE file_a IS NOT NULL AND file_b IS NOT NULL AND p.similarity >= coalesce(r.threshold, 0.60::FLOAT))
+  WHERE pa <> pb GROUP BY ALL),
+sy AS (SELECT report_id, pa AS x, pb AS y FROM lk UNION SELECT report_id, pb, pa FROM lk),
+rc(report_id, x, y) AS (SELECT report_id, x, x FROM sy UNION SELECT r.report_id, r.x, s.y FROM rc r JOIN sy s ON s.report_id = r.report_id AND s.x = r.y),
+gr AS (SELECT report_id, x AS path, min(y) AS cluster FROM rc GROUP BY ALL),
+cl AS (SELECT g.report_id AS part, g.cluster, count(DISTINCT g.path) AS files, round(avg(l.similarity::DOUBLE), 2) AS similarity
+  FROM gr g LEFT JOIN lk l ON l.report_id = g.report_id AND l.pa = g.path GROUP BY ALL)"""
+
+
+def _recorded_clusters(m):
+    """Clusters of the recorded pairs; a cluster is named by its smallest path."""
+    from archlake.functions.paths import canonical_path
+    from archlake.operators.graph import connected_components
+
+    r = m.t("dupe_reports").select("report_id", F.coalesce("threshold", F.lit(0.6).cast("float")).alias("t"))
+    p = m.t("dupe_pairs").where("file_a is not null and file_b is not null").join(r, "report_id").where("similarity >= t and not isnan(similarity)")
+    a, b = canonical_path("file_a"), canonical_path("file_b")
+    links = p.select(F.col("report_id").alias("part"), F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), "similarity").where("a <> b").groupBy("part", "a", "b").agg(F.max("similarity").alias("similarity"))
+    member = connected_components(links)
+    sizes = member.groupBy("part", F.col("component").alias("cluster")).agg(F.count(F.lit(1)).alias("files"))
+    mean = links.join(member.withColumnRenamed("node", "a"), ["part", "a"]).groupBy("part", F.col("component").alias("cluster")).agg(F.round(F.avg(F.col("similarity").cast("double")), 2).alias("similarity"))
+    return sizes.join(mean, ["part", "cluster"])
+
+
+@query("dupe_clusters", f"WITH RECURSIVE {_RECORDED} SELECT * FROM cl")
+def _(m):
+    return _recorded_clusters(m)
+
+
+@query("dupe_report", f"""WITH RECURSIVE {_RECORDED}
+SELECT r.report_id, r.files_analyzed, count(cl.cluster) AS clusters, coalesce(sum(cl.files), 0)::BIGINT AS files_in_clusters,
+  count(*) FILTER (WHERE cl.similarity * 100 >= 85) AS high, count(*) FILTER (WHERE cl.similarity * 100 >= 70 AND cl.similarity * 100 < 85) AS medium
+FROM dupe_reports r LEFT JOIN cl ON cl.part = r.report_id GROUP BY ALL""")
+def _(m):
+    level = signals.similarity_severity(F.col("similarity") * 100)
+    c = _recorded_clusters(m).groupBy(F.col("part").alias("report_id")).agg(
+        F.count(F.lit(1)).alias("clusters"), F.sum("files").alias("files_in_clusters"), F.count_if(level == "high").alias("high"), F.count_if(level == "medium").alias("medium")
+    )
+    return m.t("dupe_reports").select("report_id", "files_analyzed").join(c, "report_id", "left").fillna(0, ["clusters", "files_in_clusters", "high", "medium"])
+
+
+@query("edge_rates", "SELECT date_trunc('day', scanned_at) AS window_start, lower(trim(kind)) AS kind, count(*) AS edges FROM edges WHERE scanned_at IS NOT NULL GROUP BY ALL")
+def _(m):
+    from archlake.streaming.trends_stream import edge_rates
+
+    return edge_rates(m.t("edges")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
