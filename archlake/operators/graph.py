@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,18 +108,67 @@ def connected_components(links: DataFrame, part: str = "part", max_rounds: int =
     )
 
 
-def strong_components(modules: DataFrame, edges: DataFrame, max_rounds: int = 500) -> DataFrame:
+def _local_components(x: pd.DataFrame) -> pd.DataFrame:
+    """v, c (smallest id of its component) of one bounded set of edges: two depth-first passes, without recursion."""
+    forward: dict[int, list[int]] = {}
+    backward: dict[int, list[int]] = {}
+    for f, t in zip(x["f"].tolist(), x["t"].tolist()):
+        forward.setdefault(f, []).append(t)
+        backward.setdefault(t, []).append(f)
+    finished, seen = [], set()
+    for root in sorted({*forward, *backward}):
+        if root in seen:
+            continue
+        seen.add(root)
+        stack = [(root, iter(forward.get(root, ())))]
+        while stack:
+            v, rest = stack[-1]
+            w = next((w for w in rest if w not in seen), None)
+            if w is None:
+                finished.append(v)
+                stack.pop()
+            else:
+                seen.add(w)
+                stack.append((w, iter(forward.get(w, ()))))
+    component: dict[int, int] = {}
+    for root in reversed(finished):
+        if root in component:
+            continue
+        members, todo = [root], [root]
+        component[root] = root
+        while todo:
+            for w in backward.get(todo.pop(), ()):
+                if w not in component:
+                    component[w] = root
+                    members.append(w)
+                    todo.append(w)
+        low = min(members)
+        for w in members:
+            component[w] = low
+    return pd.DataFrame({"snapshot_id": x["snapshot_id"].iloc[0], "v": list(component), "c": list(component.values())})
+
+
+def strong_components(modules: DataFrame, edges: DataFrame, local_edges: int = 200_000, max_rounds: int = 500) -> DataFrame:
     """snapshot_id, id, scc_id (smallest id of the component), scc_size of every module.
 
     Modules without incoming or outgoing edges among the rest are peeled off, each a
-    component of its own. Of the core, every module takes the smallest id that
-    reaches it; those of one colour that reach the colour's own module are one
-    component and leave; the rest goes on. All snapshots advance together, and each
-    step is a join and an aggregation over what is left.
+    component of its own. A snapshot of whose edges at most ``local_edges`` are left
+    is then solved in one task, the number being counted first; the others advance
+    together: every module takes the smallest id that reaches it; those of one
+    colour that reach the colour's own module are one component and leave; the rest
+    goes on. Each of these steps is a join and an aggregation over what is left.
     """
     scratch = Scratch(modules.sparkSession, "scc")
-    core = scratch.write(edges.where("from_id <> to_id").select("snapshot_id", F.col("from_id").alias("f"), F.col("to_id").alias("t")).distinct(), "core")
-    done: list[DataFrame] = []
+    rows = edges.where("from_id <> to_id").select("snapshot_id", F.col("from_id").alias("f"), F.col("to_id").alias("t")).distinct()
+    core = scratch.write(rows, "core")
+    for _ in range(2):
+        heads, tails = core.select("snapshot_id", F.col("t").alias("f")).distinct(), core.select("snapshot_id", F.col("f").alias("t")).distinct()
+        core = core.join(heads, ["snapshot_id", "f"], "left_semi").join(tails, ["snapshot_id", "t"], "left_semi")
+    core = scratch.write(core, "core")
+    small = core.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= local_edges).select("snapshot_id")
+    solved = core.join(small, "snapshot_id", "left_semi").groupBy("snapshot_id").applyInPandas(_local_components, "snapshot_id long, v long, c long")
+    done: list[DataFrame] = [scratch.write(solved, "solved")]
+    core = scratch.write(core.join(small, "snapshot_id", "left_anti"), "core")
     rounds = 0
 
     def tick() -> None:
@@ -182,14 +232,10 @@ def strong_components(modules: DataFrame, edges: DataFrame, max_rounds: int = 50
             core.join(gone.withColumnRenamed("v", "f"), ["snapshot_id", "f"], "left_anti").join(gone.withColumnRenamed("v", "t"), ["snapshot_id", "t"], "left_anti"),
             "core",
         )
-    ids = modules.select("snapshot_id", "id")
-    if done:
-        members = done[0]
-        for d in done[1:]:
-            members = members.unionByName(d)
-        ids = ids.join(members.select("snapshot_id", F.col("v").alias("id"), F.col("c").alias("scc_id")), KEY, "left")
-        ids = ids.withColumn("scc_id", F.coalesce("scc_id", "id"))
-    else:
-        ids = ids.withColumn("scc_id", F.col("id"))
+    members = done[0]
+    for d in done[1:]:
+        members = members.unionByName(d)
+    members = members.select("snapshot_id", F.col("v").alias("id"), F.col("c").alias("scc_id"))
+    ids = modules.select("snapshot_id", "id").join(members, KEY, "left").withColumn("scc_id", F.coalesce("scc_id", "id"))
     sizes = ids.groupBy("snapshot_id", "scc_id").agg(F.count(F.lit(1)).alias("scc_size"))
     return ids.join(sizes, ["snapshot_id", "scc_id"]).select("snapshot_id", "id", "scc_id", "scc_size")
