@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from archlake.functions.shapes import Shapes, render
 
 
-@F.pandas_udf("struct<shape:string,text:string>")
 def _shape(annotation: pd.Series, types: pd.Series, imported: pd.Series) -> pd.DataFrame:
     out = []
     for a, t, i in zip(annotation, types, imported):
@@ -37,7 +36,8 @@ def contracts(functions: DataFrame, types: DataFrame, bindings: DataFrame) -> Da
     params = functions.select("part", "path", "order", F.posexplode("params").alias("slot", "p")).select("part", "path", "order", "slot", "p.name", "p.optional", F.col("p.type").alias("annotation"))
     returns = functions.select("part", "path", "order", F.lit(-1).alias("slot"), F.lit("return").alias("name"), F.lit(False).alias("optional"), F.col("return_type").alias("annotation"))
     rows = params.unionByName(returns).join(own, ["part", "path"], "left").join(seen, ["part", "path"], "left")
-    s = rows.withColumn("s", _shape("annotation", "types", "imported")).withColumn("shape", F.parse_json("s.shape"))
+    shape = F.pandas_udf(_shape, "struct<shape:string,text:string>")
+    s = rows.withColumn("s", shape("annotation", "types", "imported")).withColumn("shape", F.parse_json("s.shape"))
     kind = F.variant_get("shape", "$.kind", "string")
     return s.select(
         "part", "path", "order", "slot", "name", "optional", "shape", F.col("s.text").alias("text"),
