@@ -59,8 +59,11 @@ def connected_groups(links: DataFrame, beta: float = 0.3, radius: int = 6, max_l
     """v, root for every record of ``links`` (a, b: bigint); equal roots mean linked directly or indirectly.
 
     Self links and repeats are ignored, links with a null end too; no links give
-    no rows. Each level is written to the session's shared folder.
+    no rows. Each level is written to the session's shared folder. ``beta * radius``
+    must reach 1.5, else most head starts hit the cap and clusters hardly grow.
     """
+    if beta * radius < 1.5:
+        raise ValueError("beta * radius must be at least 1.5")
     scratch = Scratch(links.sparkSession, "groups")
     now = scratch.write(
         links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links"
