@@ -383,7 +383,7 @@ def _(m):
 
 
 @query("source_modules", f"""WITH {MODULES} SELECT snapshot_id, id, path FROM mods WHERE regexp_matches(path, '\\.(ts|tsx|js|jsx|mjs|cjs)$')
-AND len(list_intersect(string_split(path, '/'), ['node_modules', '.git', 'dist', 'build', '.next', 'target', '.cache', '__pycache__', '.affini'])) = 0""")
+AND len(list_intersect(string_split(path, '/'), ['node_modules', '.git', 'dist', 'build', '.next', 'target', '.cache', '__pycache__', '.archlake'])) = 0""")
 def _(m):
     from archlake.sources.files import is_source
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from archlake.functions.paths import canonical_path
 
 #: Directory and file names that are never descended into, and the extensions of source files in the order they are tried.
-IGNORED = ("node_modules", ".git", "dist", "build", ".next", "target", ".cache", "__pycache__", ".affini")
+IGNORED = ("node_modules", ".git", "dist", "build", ".next", "target", ".cache", "__pycache__", ".archlake")
 EXTENSIONS = ("ts", "tsx", "js", "jsx", "mjs", "cjs")
 
 
