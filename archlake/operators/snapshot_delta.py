@@ -156,7 +156,7 @@ def history_delta(snapshots: DataFrame, modules: DataFrame, edges: DataFrame) ->
         return df.join(successor, "snapshot_id").drop("snapshot_id").withColumnRenamed("next_id", "snapshot_id")
 
     def as_new(df: DataFrame) -> DataFrame:
-        return df.join(known, "snapshot_id", "left_semi")
+        return df.join(known, "snapshot_id")  # unique ids; unlike a semi join it stays above what both sides share
 
     slim = index.select("snapshot_id", "path_hash", "sha", "exp")
     changed_modules = probe(
