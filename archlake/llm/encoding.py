@@ -10,7 +10,7 @@
 
 Characters are counted by class, so the pair table has a proven size: characters
 below U+0600 and the symbols of U+2000 to U+25FF stand for themselves, all others
-for their block of 256. A text that only quotes garbled characters (a run closed
+for their block of 256, beyond U+FFFF for their plane. A text that only quotes garbled characters (a run closed
 in quotation marks, or one or two letters standing alone) does not count.
 """
 
@@ -26,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LOW, SYM = 0x600, (0x2000, 0x2600)
-CLASSES = LOW + (SYM[1] - SYM[0]) + 0x1100
+CLASSES = LOW + (SYM[1] - SYM[0]) + 256 + 16
 #: bits per pair of mutual information below which a pair is improbable
 MASS = 2.0e-4
 LEAST = float(np.log(0.01))
+#: characters counted at a time
+CHUNK = 1 << 20
 
 # Single-byte decoders that are taken for UTF-8 readers in error, in the order tried.
 WRONG_FOR_UTF8 = ("cp1252", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "koi8-r", "cp866", "iso8859-2", "cp1254", "cp1253", "mac_cyrillic")
@@ -49,7 +51,7 @@ QUOTES = "\"'`´‘’‚‛“”„‟«»‹›「」『』"
 @cache
 def class_table() -> np.ndarray:
     cp = np.arange(0x110000)
-    out = LOW + (SYM[1] - SYM[0]) + (cp >> 8)
+    out = LOW + (SYM[1] - SYM[0]) + np.where(cp < 0x10000, cp >> 8, 255 + (cp >> 16))
     out[:LOW] = cp[:LOW]
     out[SYM[0] : SYM[1]] = LOW + cp[: SYM[1] - SYM[0]]
     return out.astype(np.int32)
@@ -61,20 +63,27 @@ def classes(text: str) -> np.ndarray:
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     plain, rest = np.zeros(128 * 128, np.int64), {}
-    for x in batches:
-        parts = []
-        for text in x["text"]:
-            c = classes(text)
-            if len(c) > 1:
-                parts.append(c[:-1].astype(np.int64) * CLASSES + c[1:])
-        if not parts:
-            continue
+
+    def add(parts: list[np.ndarray]) -> None:
         codes = np.concatenate(parts)
         a, b = codes // CLASSES, codes % CLASSES
         low = (a < 128) & (b < 128)
-        plain += np.bincount(a[low] * 128 + b[low], minlength=128 * 128)
+        plain[:] += np.bincount(a[low] * 128 + b[low], minlength=128 * 128)
         for code, n in zip(*np.unique(codes[~low], return_counts=True)):
             rest[code] = rest.get(code, 0) + n
+
+    parts, size = [], 0
+    for x in batches:
+        for text in x["text"]:
+            for at in range(0, len(text), CHUNK):  # a piece begins with the last character of the one before
+                c = classes(text[max(0, at - 1) : at + CHUNK])
+                parts.append(c[:-1].astype(np.int64) * CLASSES + c[1:])
+                size += len(c)
+                if size > CHUNK:
+                    add(parts)
+                    parts, size = [], 0
+    if parts:
+        add(parts)
     seen = np.flatnonzero(plain)
     codes = np.concatenate([(seen // 128) * CLASSES + seen % 128, np.fromiter(rest, np.int64, len(rest))])
     yield pd.DataFrame({"code": codes, "n": np.concatenate([plain[seen], np.fromiter(rest.values(), np.int64, len(rest))])})
@@ -87,15 +96,13 @@ def pair_counts(documents: DataFrame) -> DataFrame:
 
 
 class PairModel:
-    """Scores and conditional probabilities of class pairs, as dense tables."""
+    """Scores and joint log-probabilities of the class pairs seen, sorted by code."""
 
     def __init__(self, codes: np.ndarray, n: np.ndarray):
-        joint = np.zeros((CLASSES, CLASSES), np.float32)
-        joint[codes // CLASSES, codes % CLASSES] = n
+        a, b = codes // CLASSES, codes % CLASSES
         total = max(1.0, float(n.sum()))
-        first, second = joint.sum(axis=1, dtype=np.float64), joint.sum(axis=0, dtype=np.float64)
+        first, second = np.bincount(a, weights=n, minlength=CLASSES), np.bincount(b, weights=n, minlength=CLASSES)
         self.back = np.log((second + 0.01) / (total + 0.01 * CLASSES)).astype(np.float32)
-        a, b = codes // CLASSES, codes % CLASSES
         pmi = np.log2(np.maximum(n, 1) * total / (first[a] * second[b]))
         mass = n / total * np.maximum(pmi, 0.1)
         self.codes = np.sort(codes)

@@ -76,9 +76,8 @@ def minhash(items: np.ndarray, k: int) -> np.ndarray:
 
 def _sketcher(miss: float):
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            for at in range(0, len(x), 256):
-                yield from sketch_rows(x.iloc[at : at + 256])
+        for x in _slices(batches):
+            yield from sketch_rows(x)
 
     def sketch_rows(x: pd.DataFrame) -> Iterator[pd.DataFrame]:
         sets = batch_shingles(x["content"])
@@ -129,13 +128,19 @@ def _prune(miss: float):
     return prune
 
 
-def _item_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for x in batches:
+        for at in range(0, len(x), 256):
+            yield x.iloc[at : at + 256]
+
+
+def _item_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for x in _slices(batches):
         yield pd.DataFrame({"id": x["file_id"], "threshold": x["threshold"], "items": [s.tobytes() for s in batch_shingles(x["content"])]})
 
 
 def _token_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for x in batches:
+    for x in _slices(batches):
         sets = [s.view(np.int64) for s in batch_shingles(x["content"])]
         yield pd.DataFrame({"id": x["file_id"], "part": x["report_id"], "threshold": x["threshold"], "size": [len(s) for s in sets], "tokens": sets})
 
