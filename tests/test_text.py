@@ -50,7 +50,11 @@ def test_similar_pairs_are_exact(spark):
     texts += [None, "", "a b c"]
     rows = [(i, 1 + i % 2, t) for i, t in enumerate(texts)]
     files = spark.createDataFrame(rows, "id long, part long, content string")
-    sets = {i: {tuple(tokens(t)[k : k + 4]) for k in range(len(tokens(t)) - 3)} for i, _, t in rows if t}
+    sets = {}
+    for i, _, t in rows:
+        if t:
+            w = tokens(t)
+            sets[i] = {tuple(w[k : k + 4]) for k in range(len(w) - 3)}
     want = set()
     for i, p, t in rows:
         for j, q, u in rows[:i]:
