@@ -84,7 +84,11 @@ def test_near_duplicates(spark, hot):
     files = spark.createDataFrame(rows, "file_id long, report_id long, content string, threshold string, rep string")
     reports = spark.createDataFrame([(1, 1, None, ""), (2, 1, 0.7, ""), (3, 1, 0.8, "")], REPORTS)
     limit = {1: np.float32(0.6), 2: np.float32(0.7), 3: np.float32(0.8)}
-    sets = {i: {tuple(tokens(t)[k : k + 4]) for k in range(len(tokens(t)) - 3)} for i, _, t, *_ in rows[: len(texts)] if t}
+    sets = {}
+    for i, _, t, *_ in rows[: len(texts)]:
+        if t:
+            w = tokens(t)
+            sets[i] = {tuple(w[k : k + 4]) for k in range(len(w) - 3)}
     want = set()
     for i in sets:
         for j in sets:
