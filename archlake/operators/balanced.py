@@ -143,8 +143,7 @@ def fan_in_mismatches(modules: DataFrame, edges: DataFrame, metrics: DataFrame,
     rows = (
         edges.select("snapshot_id", "from_id", F.col("to_id").alias("id"), F.lower(F.trim("kind")).alias("kind"))
         .where("snapshot_id is not null and from_id is not null and id is not null")
-        .repartition("snapshot_id", "from_id")
-        .dropDuplicates()
+        .dropDuplicates()  # by all columns: repeats go on the map side, and no from_id gathers in one task
         .join(sources, ["snapshot_id", "from_id"], "left_semi")
     )
     recorded = metrics.where("fan_in is not null and snapshot_id is not null and id is not null").select("snapshot_id", "id", "fan_in")

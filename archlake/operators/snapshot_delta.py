@@ -164,14 +164,15 @@ def history_delta(snapshots: DataFrame, modules: DataFrame, edges: DataFrame) ->
     )
 
     ends = index.select("snapshot_id", "id", "path_hash")
+    # both joins sit right above an exchange, so a from_id or to_id that holds much of a snapshot is split there;
+    # repeats go afterwards, counted down on the map side of the exchange by key that the probe needs anyway
     pairs = (
         edges.where("snapshot_id is not null and from_id is not null and to_id is not null")
         .select("snapshot_id", "from_id", "to_id")
-        .repartition("snapshot_id", "from_id")
-        .dropDuplicates()
         .join(ends.select("snapshot_id", F.col("id").alias("from_id"), F.col("path_hash").alias("fh")), ["snapshot_id", "from_id"])
         .join(ends.select("snapshot_id", F.col("id").alias("to_id"), F.col("path_hash").alias("th")), ["snapshot_id", "to_id"])
         .select("snapshot_id", "fh", "th")
+        .distinct()
     )
     changed_edges = probe(as_last(pairs), as_new(pairs), ["snapshot_id", "fh", "th"])
 

@@ -79,6 +79,28 @@ def test_fan_in(spark):
     assert fan_in_mismatches(modules, edges, metrics.limit(0)).collect() == []
 
 
+def test_hot_source_and_hot_copy(spark):
+    """One module importing a third of all, and one edge delivered over and over, among small joins split as skewed."""
+    s = spark.createDataFrame([(1, "/r", None, None, day(1), None), (2, "/r", None, None, day(2), None)], S)
+    m = spark.createDataFrame([(k, i, f"m{i}", None, None, day(1), None, None) for k in (1, 2) for i in range(300)], M)
+    rng = [(k, 0, i, "Imports", "x", day(1), None) for k in (1, 2) for i in range(300 - k)] + [(1, 5, 6, "Imports", "x", day(1), None)] * 400 + [(2, i, 7, "Imports", str(i), day(1), None) for i in range(300)]
+    e = spark.createDataFrame(rng, E)
+    metrics = spark.createDataFrame([(1, 6, 2), (1, 7, 2), (2, 7, 300), (2, 299, 0), (2, 8, 1)], "snapshot_id long, id long, fan_in long")
+    keys = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1b", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        got = Counter(tuple(r)[1:] for r in history_delta(s, m, e).collect())
+        wrong = {tuple(r) for r in fan_in_mismatches(m, e, metrics).collect()}
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
+    pairs = lambda k: {(f, t) for x, f, t, *_ in rng if x == k}
+    want = [("edge", f"m{f}", f"m{t}", "added") for f, t in pairs(2) - pairs(1)] + [("edge", f"m{f}", f"m{t}", "removed") for f, t in pairs(1) - pairs(2)]
+    assert got == Counter(want)
+    assert wrong == {(1, 7)}
+
+
 def test_hot_key_is_spread(spark):
     rows = spark.range(6000).selectExpr("cast(if(id % 3 = 0, 0, id) as long) as k", "id % 700 as v", "'x' as bucket")
     plan = plan_load(rows, ["k"], tasks=8)
