@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
 LENGTH, BLOCK = 12, 2
-MAX_BLOCK_WORDS = 2_000_000
+#: words of a block of items; its tables take some 160 MB in each Python worker
+MAX_BLOCK_WORDS = 200_000
 
 
 def words(text: str) -> list[str]:
