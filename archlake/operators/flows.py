@@ -128,6 +128,7 @@ def step_flags(steps: DataFrame, nodes: DataFrame, violating: DataFrame, changed
         .join(new.select("part", F.col("path").alias("from_path"), F.lit(True).alias("new_f")), ["part", "from_path"], "left")
         .join(new.select("part", F.col("path").alias("to_path"), F.lit(True).alias("new_t")), ["part", "to_path"], "left")
     )
+    # Sources, codes, severities and texts of the flags, in their order.
     percent = F.bround(F.col("t.instability") * 100, 0).cast("int").cast("string")
     before = [
         _flag((F.col("f.scc_id") == F.col("t.scc_id")) & (F.col("f.scc_size") > 1), "metric", "scc_cycle", "Error", F.lit("This call crosses a circular dependency — both modules are in the same import cycle.")),
