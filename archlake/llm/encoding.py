@@ -215,6 +215,14 @@ def _as_utf8(run: str) -> Iterator[str]:
                 yield _utf8_layer(twice, enc)
             elif enc != "cp1252" and (other := _utf8_layer(once, "cp1252")) != once:
                 yield other
+    if max(run) >= "\u2e80":  # read as multi-byte text; as the bytes must be UTF-8 throughout, a single letter is told
+        for used in UTF8_AS_MULTI:
+            try:
+                text = run.encode(used).decode("utf-8")
+            except UnicodeError:
+                continue
+            if text != run:
+                yield text
 
 
 def _as_multi(run: str) -> Iterator[str]:

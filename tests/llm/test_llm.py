@@ -224,6 +224,18 @@ def test_encoding(spark):
     assert encoding.restored(d.limit(0)).count() == 0
 
 
+def test_single_letters_read_as_multi_byte_text(spark):
+    """A lone accented letter that became an East Asian character is found; real East Asian letters beside names are not."""
+    docs = [(i, t) for i, t in corpus()[0] if i < 1400] + [(i, f"Widget{i}는 새 모듈입니다. Engine没有循环, Cache中的边, {i}") for i in range(1400, 1600)]
+    bad = {}
+    for i, (text, used) in enumerate([("Das Modul hängt ab", "cp932"), ("La façade est stable", "euc_kr"), ("Our team can’t explain", "gbk"), ("ein kürzerer Weg", "big5")]):
+        bad[2000 + i] = text
+        docs.append((2000 + i, text.encode().decode(used)))
+    got = {r["doc_id"]: r["text"] for r in encoding.restored(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert set(got) == set(bad)
+    assert sum(got[i] == t for i, t in bad.items()) >= 3
+
+
 def test_maximal_segments():
     rng = np.random.default_rng(0)
     for _ in range(50):
