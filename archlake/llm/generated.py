@@ -7,7 +7,9 @@ length class). A file is flagged if
 - its names are mangled: their cross-entropy under the trigram model is far above
   that of the median file (minified and bundled code);
 - its naming style is foreign: the cross-entropy of its styles is far above the
-  median (third-party code, written to other conventions);
+  median (third-party code, written to other conventions). The styles are those of
+  the more usual half of the files, so that even many copies of foreign code don't
+  teach the model their own style;
 - its names follow a template: the token shapes around its names keep repeating
   (emitted code, tables of records);
 - it hardly has names for its size (data saved as code).
@@ -167,7 +169,11 @@ def _weights(model: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
         s[own.loc[own["kind"] == 1, "code"]] += own.loc[own["kind"] == 1, "n"]
         t = t.reshape(SYMBOLS**2, SYMBOLS)
         tris.append(-np.log2((t + 0.05) / (t.sum(axis=1, keepdims=True) + 0.05 * SYMBOLS)).ravel())
-    return tris, -np.log2((s + 0.1) / (s.sum() + 0.1 * len(s)))
+    return tris, _style_bits(s)
+
+
+def _style_bits(counts: np.ndarray) -> np.ndarray:
+    return -np.log2((counts + 0.1) / (counts.sum() + 0.1 * len(counts)))
 
 
 def source_texts(files: DataFrame) -> DataFrame:
@@ -184,7 +190,12 @@ def name_models(files: DataFrame) -> DataFrame:
 
 
 def name_features(files: DataFrame) -> DataFrame:
-    """file_id, mangling and style (bits), diversity, chars_per_name of every file. The model is collected: its size is bounded by its alphabet."""
+    """file_id, mangling and style (bits), diversity, chars_per_name of every file.
+
+    The models are collected: their size is bounded by their alphabet. Files are
+    lexed twice, to train and to score; the second style model is counted from the
+    styles that scoring keeps of each file.
+    """
     model = files.sparkSession.sparkContext.broadcast(name_models(files).toPandas())
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -197,17 +208,39 @@ def name_features(files: DataFrame) -> DataFrame:
             bits = np.bincount(owner, weights=tris[language][tri], minlength=n) / np.maximum(np.bincount(owner, minlength=n), 1)
             file, codes = lexed.styles()
             style = np.bincount(file, weights=styles[codes], minlength=n) / np.maximum(many, 1)
+            held, times = np.unique(file * (256 * CASES) + codes, return_counts=True)
+            cuts = np.searchsorted(held, np.arange(1, n) * (256 * CASES))
             distinct = np.array([len(set(o)) for o in lexed.names])
             size = x["content"].str.len().to_numpy()
             yield pd.DataFrame(
-                {"file_id": x["file_id"], "mangling": bits, "style": style, "diversity": lexed.diversity(), "chars_per_name": size / np.maximum(distinct, 1)}
-            )
-
-    return source_texts(files).mapInPandas(score, "file_id long, mangling double, style double, diversity double, chars_per_name double")
+                {
+                    "file_id": x["file_id"], "mangling": bits, "style": style, "diversity": lexed.diversity(), "chars_per_name": size / np.maximum(distinct, 1),
+                    "styles": np.split((held % (256 * CASES)).astype(np.int32), cuts), "times": np.split(times.astype(np.int32), cuts),
+                }
+            )
+
+    columns = "file_id long, mangling double, style double, diversity double, chars_per_name double"
+    scratch = Scratch(files.sparkSession, "names")
+    scored = scratch.write(source_texts(files).mapInPandas(score, columns + ", styles array<int>, times array<int>"), "scored")
+    usual = scored.crossJoin(F.broadcast(scored.agg(F.percentile_approx("style", 0.5).alias("middle")))).where("style <= middle")  # one row
+    counts = usual.select(F.explode("styles").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    table = np.zeros(256 * CASES)
+    table[counts["code"]] = counts["n"]
+    own = files.sparkSession.sparkContext.broadcast(_style_bits(table))
+
+    def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            sizes = x["styles"].str.len().to_numpy(np.int64)
+            file = np.repeat(np.arange(len(x)), sizes)
+            codes, times = (np.concatenate([np.zeros(0, np.int64), *x[c]]).astype(np.int64) for c in ("styles", "times"))
+            style = np.bincount(file, weights=own.value[codes] * times, minlength=len(x)) / np.maximum(np.bincount(file, weights=times, minlength=len(x)), 1)
+            yield x.assign(style=style)[["file_id", "mangling", "style", "diversity", "chars_per_name"]]
+
+    return scratch.write(scored.mapInPandas(again, columns), "features")
 
 
 def not_hand_written(
-    files: DataFrame, mangled: float = 0.5, foreign: float = 0.6, template: float = 0.35, sparse: float = 5.0
+    files: DataFrame, mangled: float = 0.5, foreign: float = 1.5, template: float = 0.35, sparse: float = 5.0
 ) -> DataFrame:
     """file_id and four flags (mangled, foreign, template, sparse) of every file with at least one of them.
 
@@ -217,7 +250,7 @@ def not_hand_written(
     names (an empty one, or comments alone) is flagged only if it holds anything
     but blanks at that size; repeated file ids give one row.
     """
-    features = Scratch(files.sparkSession, "names").write(name_features(files), "features")
+    features = name_features(files)
     middle = features.select(*[F.percentile_approx(c, 0.5).alias(f"m_{c}") for c in ("mangling", "style", "diversity", "chars_per_name")])
     flags = features.crossJoin(F.broadcast(middle)).select(  # one row of medians
         "file_id",

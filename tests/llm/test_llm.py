@@ -121,6 +121,19 @@ def test_generated_held_out(spark):
     assert len(flagged & sure) >= 0.98 * len(sure) and len(flagged & own - sure) <= 0.01 * len(own)
 
 
+def test_generated_when_common(spark):
+    """Foreign code stays foreign where it makes up a third of all files."""
+    files = spark.read.parquet(DATA.replace("sf0.001", "sf0.01") + "/source_files.parquet")
+    foreign = files.where(F.col("content").contains("root.") & F.col("content").contains("= factory()"))
+    own = files.where("content rlike \"[}] from '(\\\\.|@core)\"")
+    n, m = foreign.count(), own.count()
+    copies = foreign.join(spark.range(max(1, m // (2 * n))), how="cross").withColumn("file_id", F.col("file_id") + F.lit(10**9) * (F.col("id") + 1)).drop("id")
+    flagged = {r["file_id"] for r in generated.not_hand_written(own.unionByName(copies)).collect()}
+    want = {r["file_id"] for r in copies.select("file_id").collect()}
+    assert len(want) > 0.25 * (m + len(want))
+    assert len(want - flagged) <= 0.02 * len(want) and len(flagged - want) <= 0.01 * m
+
+
 def test_generated_awkward_rows(spark):
     rng = random.Random(1)
     name = lambda: rng.choice(["load", "save", "open", "close"]) + rng.choice(["Table", "Window", "Record"])
