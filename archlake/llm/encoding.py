@@ -1,6 +1,7 @@
 """Garbled text from wrong character encoding (problem 8).
 
-1. Count adjacent character pairs over the whole corpus (one aggregation).
+1. Count adjacent character pairs over the whole corpus, each distinct text once:
+   copies of one garbled text would make its wrong pairs look usual.
 2. Score every pair of a text by its contribution to the corpus' mutual
    information: pairs that contribute little are improbable and score above zero.
 3. Maximum-scoring segments of these scores are the improbable runs.
@@ -90,8 +91,8 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def pair_counts(documents: DataFrame) -> DataFrame:
-    """code (first class * CLASSES + second), n over all texts; at most CLASSES squared rows."""
-    texts = documents.where("text is not null").select("text")
+    """code (first class * CLASSES + second), n over all distinct texts; at most CLASSES squared rows."""
+    texts = documents.where("text is not null").select("text").distinct()
     return texts.mapInPandas(_count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 

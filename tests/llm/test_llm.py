@@ -237,6 +237,18 @@ def test_encoding(spark):
     assert encoding.restored(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", [2000, 2003, 2005, 2010])
+def test_copies_of_garbled_text(spark, kind):
+    """Copies that make up a third of the rows don't make their own wrong pairs usual; each of them is found."""
+    docs, bad = corpus()
+    texts = dict(docs)
+    copies = {10_000 + i: texts[kind] for i in range(len(docs) // 2)}
+    d = spark.createDataFrame([*docs, *copies.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in encoding.restored(d).collect()}
+    assert set(got) == set(bad) | set(copies)
+    assert all(got[i] == got[kind] for i in copies) and got[kind] == bad[kind]
+
+
 def test_single_letters_read_as_multi_byte_text(spark):
     """A lone accented letter that became an East Asian character is found; real East Asian letters beside names are not."""
     docs = [(i, t) for i, t in corpus()[0] if i < 1400] + [(i, f"Widget{i}는 새 모듈입니다. Engine没有循环, Cache中的边, {i}") for i in range(1400, 1600)]
