@@ -1,6 +1,7 @@
 """Generated, minified, vendored source files and data saved as code (problem 5).
 
-Models of names are trained on all files: character trigrams of identifiers, per
+Models of names are trained on all distinct texts, so that the copies of one file
+count once, in the medians as well: character trigrams of identifiers, per
 language, and naming styles (the word or sign before a name, its casing, its
 length class). A file is flagged if
 
@@ -8,8 +9,8 @@ length class). A file is flagged if
   that of the median file (minified and bundled code);
 - its naming style is foreign: the cross-entropy of its styles is far above the
   median (third-party code, written to other conventions). The styles are those of
-  the more usual half of the files, so that even many copies of foreign code don't
-  teach the model their own style;
+  the more usual half of the texts, so that even much foreign code doesn't teach
+  the model its own style;
 - its names follow a template: the token shapes around its names keep repeating
   (emitted code, tables of records);
 - it hardly has names for its size (data saved as code).
@@ -27,7 +28,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archlake.functions.paths import extension
@@ -183,20 +184,26 @@ def source_texts(files: DataFrame) -> DataFrame:
     )
 
 
-def name_models(files: DataFrame) -> DataFrame:
-    """kind (0 trigram, 1 style), language, code, n over all files: at most (SYMBOLS cubed + 256 CASES) rows a language."""
-    counts = source_texts(files).select("language", "content").mapInPandas(_train, "kind int, language int, code long, n long")
+def _text_id() -> Column:
+    return F.concat_ws(":", "language", F.md5("content"))
+
+
+def name_models(texts: DataFrame) -> DataFrame:
+    """kind (0 trigram, 1 style), language, code, n over all texts (language, content): at most (SYMBOLS cubed + 256 CASES) rows a language."""
+    counts = texts.select("language", "content").mapInPandas(_train, "kind int, language int, code long, n long")
     return counts.groupBy("kind", "language", "code").agg(F.sum("n").alias("n"))
 
 
 def name_features(files: DataFrame) -> DataFrame:
-    """file_id, mangling and style (bits), diversity, chars_per_name of every file.
+    """text_id (_text_id), mangling and style (bits), diversity, chars_per_name of every distinct text.
 
-    The models are collected: their size is bounded by their alphabet. Files are
+    The models are collected: their size is bounded by their alphabet. Texts are
     lexed twice, to train and to score; the second style model is counted from the
-    styles that scoring keeps of each file.
+    styles that scoring keeps of each text.
     """
-    model = files.sparkSession.sparkContext.broadcast(name_models(files).toPandas())
+    scratch = Scratch(files.sparkSession, "names")
+    texts = scratch.write(source_texts(files).select("language", "content").distinct().withColumn("text_id", _text_id()), "texts")
+    model = files.sparkSession.sparkContext.broadcast(name_models(texts).toPandas())
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tris, styles = _weights(model.value)
@@ -214,14 +221,14 @@ def name_features(files: DataFrame) -> DataFrame:
             size = x["content"].str.len().to_numpy()
             yield pd.DataFrame(
                 {
-                    "file_id": x["file_id"], "mangling": bits, "style": style, "diversity": lexed.diversity(), "chars_per_name": size / np.maximum(distinct, 1),
+                    "text_id": x["text_id"], "mangling": bits, "style": style, "diversity": lexed.diversity(), "chars_per_name": size / np.maximum(distinct, 1),
                     "styles": np.split((held % (256 * CASES)).astype(np.int32), cuts), "times": np.split(times.astype(np.int32), cuts),
                 }
             )
 
-    columns = "file_id long, mangling double, style double, diversity double, chars_per_name double"
-    scratch = Scratch(files.sparkSession, "names")
-    scored = scratch.write(source_texts(files).mapInPandas(score, columns + ", styles array<int>, times array<int>"), "scored")
+    columns = "text_id string, mangling double, style double, diversity double, chars_per_name double"
+    scored = scratch.write(texts.mapInPandas(score, columns + ", styles array<int>, times array<int>"), "scored")
+    scratch.drop(texts)
     usual = scored.crossJoin(F.broadcast(scored.agg(F.percentile_approx("style", 0.5).alias("middle")))).where("style <= middle")  # one row
     counts = usual.select(F.explode("styles").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n")).toPandas()
     table = np.zeros(256 * CASES)
@@ -234,7 +241,7 @@ def name_features(files: DataFrame) -> DataFrame:
             file = np.repeat(np.arange(len(x)), sizes)
             codes, times = (np.concatenate([np.zeros(0, np.int64), *x[c]]).astype(np.int64) for c in ("styles", "times"))
             style = np.bincount(file, weights=own.value[codes] * times, minlength=len(x)) / np.maximum(np.bincount(file, weights=times, minlength=len(x)), 1)
-            yield x.assign(style=style)[["file_id", "mangling", "style", "diversity", "chars_per_name"]]
+            yield x.assign(style=style)[["text_id", "mangling", "style", "diversity", "chars_per_name"]]
 
     return scratch.write(scored.mapInPandas(again, columns), "features")
 
@@ -244,20 +251,21 @@ def not_hand_written(
 ) -> DataFrame:
     """file_id and four flags (mangled, foreign, template, sparse) of every file with at least one of them.
 
-    ``mangled`` and ``foreign`` are bits above the median file, ``template`` is the
+    ``mangled`` and ``foreign`` are bits above the median text, ``template`` is the
     largest diversity relative to the median, ``sparse`` the least characters per
-    name relative to it. Files without id or content are left out; a file without
+    name relative to it. Medians are over distinct texts, flags are given to every copy. Files without id or content are left out; a file without
     names (an empty one, or comments alone) is flagged only if it holds anything
     but blanks at that size; repeated file ids give one row.
     """
     features = name_features(files)
     middle = features.select(*[F.percentile_approx(c, 0.5).alias(f"m_{c}") for c in ("mangling", "style", "diversity", "chars_per_name")])
     flags = features.crossJoin(F.broadcast(middle)).select(  # one row of medians
-        "file_id",
+        "text_id",
         (F.col("mangling") > F.col("m_mangling") + mangled).alias("mangled"),
         (F.col("style") > F.col("m_style") + foreign).alias("foreign"),
         (F.col("diversity") < F.col("m_diversity") * template).alias("template"),
         (F.col("chars_per_name") > F.col("m_chars_per_name") * sparse).alias("sparse"),
     )
-    any_ = flags.groupBy("file_id").agg(*[F.bool_or(c).alias(c) for c in ("mangled", "foreign", "template", "sparse")])
-    return any_.where("mangled or foreign or template or sparse")
+    flagged = flags.where("mangled or foreign or template or sparse")
+    rows = source_texts(files).select("file_id", _text_id().alias("text_id")).join(flagged, "text_id")
+    return rows.groupBy("file_id").agg(*[F.bool_or(c).alias(c) for c in ("mangled", "foreign", "template", "sparse")])

@@ -134,6 +134,20 @@ def test_generated_when_common(spark):
     assert len(want - flagged) <= 0.02 * len(want) and len(flagged - want) <= 0.01 * m
 
 
+@pytest.mark.parametrize("mark", ["= factory()", ".prototype."])
+def test_copies_of_one_generated_file(spark, mark):
+    """A vendored and a minified file keep their flags where their copies hold a third of the rows, and so do the others."""
+    files = spark.read.parquet(DATA.replace("sf0.001", "sf0.01") + "/source_files.parquet")
+    before = {tuple(r) for r in generated.not_hand_written(files).collect()}
+    one = files.where(F.col("content").contains(mark)).orderBy("file_id").limit(1)
+    n = files.count() // 2
+    copies = one.crossJoin(spark.range(n)).withColumn("file_id", F.lit(10**9) + F.col("id")).drop("id")
+    got = {tuple(r) for r in generated.not_hand_written(files.unionByName(copies)).collect()}
+    own = {r[1:] for r in before if r[0] == one.first()["file_id"]}
+    assert len(own) == 1 and {r for r in got if r[0] < 10**9} == before
+    assert {r for r in got if r[0] >= 10**9} == {(10**9 + i, *own.copy().pop()) for i in range(n)}
+
+
 def test_generated_awkward_rows(spark):
     rng = random.Random(1)
     name = lambda: rng.choice(["load", "save", "open", "close"]) + rng.choice(["Table", "Window", "Record"])
