@@ -11,7 +11,8 @@ length class). A file is flagged if
   median (third-party code, written to other conventions). The styles are those of
   the more usual half of the texts, so that even much foreign code doesn't teach
   the model its own style;
-- its names follow a template: the token shapes around its names keep repeating
+- its names follow a template: the token shapes around its names keep repeating,
+  within a window or, where the repeated unit is long, over the whole file
   (emitted code, tables of records);
 - it hardly has names for its size (data saved as code).
 
@@ -49,6 +50,8 @@ SHAPES = {w: 8 + i for i, w in enumerate([*KEYWORDS, *PUNCTUATION])}
 CASES = 32  # casing (0..7) and length class (0..3)
 SYMBOLS = 57
 GRAM, WINDOW = 8, 384
+#: the least that usual text keeps of its distinct runs per run when it gets twice as long
+DECAY = 0.8
 _LETTERS = np.full(256, 56, np.int64)
 for _i in range(26):
     _LETTERS[97 + _i], _LETTERS[65 + _i] = 1 + _i, 27 + _i
@@ -107,12 +110,13 @@ class Lexed:
         at = self.codes > 255
         return self.file[at], before[at] * CASES + (self.codes[at] >> 8) - 1
 
-    def diversity(self) -> np.ndarray:
-        """Distinct runs of GRAM token shapes per run, over windows of WINDOW runs; 1 for files too short to tell."""
+    def diversity(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct runs of GRAM token shapes per run, over windows of WINDOW runs and over the whole file, and the
+        binary logarithm of the number of runs; 1, 1 and -1 for files too short to tell."""
         shape = (self.codes & 255).astype(np.uint64)
-        out = np.ones(len(self.sizes))
+        out, whole, length = np.ones(len(self.sizes)), np.ones(len(self.sizes)), np.full(len(self.sizes), -1)
         if len(shape) < GRAM:
-            return out
+            return out, whole, length
         x = shape[: len(shape) - GRAM + 1].copy()
         for k in range(1, GRAM):
             x = x * np.uint64(0x9E3779B97F4A7C15) + shape[k : len(shape) - GRAM + 1 + k]
@@ -122,8 +126,10 @@ class Lexed:
             if n >= 3 * GRAM:
                 kept = sum(len(np.unique(x[at + j : at + min(j + WINDOW, runs)])) for j in range(0, runs, WINDOW))
                 out[i] = kept / runs
+                whole[i] = len(np.unique(x[at : at + runs])) / runs
+                length[i] = int(runs).bit_length() - 1
             at += n
-        return out
+        return out, whole, length
 
 
 def trigrams(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +201,8 @@ def name_models(texts: DataFrame) -> DataFrame:
 
 
 def name_features(files: DataFrame) -> DataFrame:
-    """text_id (_text_id), mangling and style (bits), diversity, chars_per_name of every distinct text.
+    """text_id (_text_id), mangling and style (bits), diversity (in windows), whole (diversity), length (class), chars_per_name
+    of every distinct text.
 
     The models are collected: their size is bounded by their alphabet. Texts are
     lexed twice, to train and to score; the second style model is counted from the
@@ -219,14 +226,15 @@ def name_features(files: DataFrame) -> DataFrame:
             cuts = np.searchsorted(held, np.arange(1, n) * (256 * CASES))
             distinct = np.array([len(set(o)) for o in lexed.names])
             size = x["content"].str.len().to_numpy()
+            diversity, whole, length_class = lexed.diversity()
             yield pd.DataFrame(
                 {
-                    "text_id": x["text_id"], "mangling": bits, "style": style, "diversity": lexed.diversity(), "chars_per_name": size / np.maximum(distinct, 1),
+                    "text_id": x["text_id"], "mangling": bits, "style": style, "diversity": diversity, "whole": whole, "length": length_class, "chars_per_name": size / np.maximum(distinct, 1),
                     "styles": np.split((held % (256 * CASES)).astype(np.int32), cuts), "times": np.split(times.astype(np.int32), cuts),
                 }
             )
 
-    columns = "text_id string, mangling double, style double, diversity double, chars_per_name double"
+    columns = "text_id string, mangling double, style double, diversity double, whole double, length int, chars_per_name double"
     scored = scratch.write(texts.mapInPandas(score, columns + ", styles array<int>, times array<int>"), "scored")
     scratch.drop(texts)
     usual = scored.crossJoin(F.broadcast(scored.agg(F.percentile_approx("style", 0.5).alias("middle")))).where("style <= middle")  # one row
@@ -241,29 +249,51 @@ def name_features(files: DataFrame) -> DataFrame:
             file = np.repeat(np.arange(len(x)), sizes)
             codes, times = (np.concatenate([np.zeros(0, np.int64), *x[c]]).astype(np.int64) for c in ("styles", "times"))
             style = np.bincount(file, weights=own.value[codes] * times, minlength=len(x)) / np.maximum(np.bincount(file, weights=times, minlength=len(x)), 1)
-            yield x.assign(style=style)[["text_id", "mangling", "style", "diversity", "chars_per_name"]]
+            yield x.assign(style=style)[["text_id", "mangling", "style", "diversity", "whole", "length", "chars_per_name"]]
 
     return scratch.write(scored.mapInPandas(again, columns), "features")
 
 
+def usual_diversity(rows: list[tuple[int, int, float]]) -> dict[int, float]:
+    """Length class -> the whole-file diversity usual for it, from (class, texts, median) of the classes there are.
+
+    Long files may be emitted for the most part, so the medians are held to a
+    course that begins at the class with most texts: with every doubling diversity
+    falls, but to no less than DECAY of what it was.
+    """
+    found = {k: m for k, _, m in rows}
+    if not found:
+        return {}
+    start = max(rows, key=lambda r: (r[1], -r[0]))[0]
+    usual = {start: found[start]}
+    for k in range(start + 1, max(found) + 1):
+        usual[k] = min(max(found.get(k, 0.0), DECAY * usual[k - 1]), usual[k - 1])
+    for k in range(start - 1, min(found) - 1, -1):
+        usual[k] = min(max(found.get(k, 0.0), usual[k + 1]), usual[k + 1] / DECAY, 1.0)
+    return usual
+
+
 def not_hand_written(
     files: DataFrame, mangled: float = 0.5, foreign: float = 1.5, template: float = 0.35, sparse: float = 5.0
 ) -> DataFrame:
     """file_id and four flags (mangled, foreign, template, sparse) of every file with at least one of them.
 
     ``mangled`` and ``foreign`` are bits above the median text, ``template`` is the
-    largest diversity relative to the median, ``sparse`` the least characters per
+    largest diversity relative to the median, or that of the whole file relative to
+    what is usual at its length, ``sparse`` the least characters per
     name relative to it. Medians are over distinct texts, flags are given to every copy. Files without id or content are left out; a file without
     names (an empty one, or comments alone) is flagged only if it holds anything
     but blanks at that size; repeated file ids give one row.
     """
     features = name_features(files)
     middle = features.select(*[F.percentile_approx(c, 0.5).alias(f"m_{c}") for c in ("mangling", "style", "diversity", "chars_per_name")])
-    flags = features.crossJoin(F.broadcast(middle)).select(  # one row of medians
+    classes = features.where("length >= 0").groupBy("length").agg(F.count(F.lit(1)), F.percentile_approx("whole", 0.5)).collect()  # a row per class
+    usual = files.sparkSession.createDataFrame(list(usual_diversity([tuple(r) for r in classes]).items()), "length int, usual double")
+    flags = features.join(F.broadcast(usual), "length", "left").crossJoin(F.broadcast(middle)).select(  # one row of medians
         "text_id",
         (F.col("mangling") > F.col("m_mangling") + mangled).alias("mangled"),
         (F.col("style") > F.col("m_style") + foreign).alias("foreign"),
-        (F.col("diversity") < F.col("m_diversity") * template).alias("template"),
+        ((F.col("diversity") < F.col("m_diversity") * template) | F.coalesce(F.col("whole") < F.col("usual") * template, F.lit(False))).alias("template"),
         (F.col("chars_per_name") > F.col("m_chars_per_name") * sparse).alias("sparse"),
     )
     flagged = flags.where("mangled or foreign or template or sparse")

@@ -148,6 +148,32 @@ def test_copies_of_one_generated_file(spark, mark):
     assert {r for r in got if r[0] >= 10**9} == {(10**9 + i, *own.copy().pop()) for i in range(n)}
 
 
+def test_long_repeated_unit(spark):
+    """A file that repeats one varied unit longer than a window's share is a template; a varied file of its length is not."""
+    rng = random.Random(5)
+    word = lambda: rng.choice(["load", "save", "open", "close"]) + rng.choice(["Table", "Window", "Record"])
+
+    def value(depth=0):
+        kind = rng.randrange(4 if depth < 3 else 1)
+        if kind == 1:
+            return f"{value(depth + 1)} {rng.choice('+ - * / % && || ?? < > === |'.split())} {value(depth + 1)}"
+        if kind == 2:
+            return f"{word()}({', '.join(value(depth + 1) for _ in range(rng.randrange(4)))})"
+        return rng.choice([f"{word()}.{word()}", word(), str(rng.randrange(9)), f"'{word()}'", f"[{word()}]", "null", f"!{word()}"]) if kind == 0 else f"({word()}) => {value(depth + 1)}"
+
+    line = lambda: rng.choice(["const {} = {};", "if ({1}) {{ {0}(); }}", "return {1};", "{}[0] = {};", "await {}({});", "for (const {} of {}) {{"]).format(word(), value())
+    text = lambda n: "\n".join(line() for _ in range(n))
+    own = [(i, f"src/f{i}.ts", text(rng.randrange(15, 60))) for i in range(80)] + [(80, "src/long.ts", text(1200))]
+    unit = text(30)
+    rename = lambda: re.sub(r"(load|save|open|close)(Table|Window|Record)", lambda m: word(), unit)
+    repeated = [(90 + i, f"src/r{i}.ts", "\n".join(rename() for _ in range(n))) for i, n in enumerate((40, 400))]
+    files = spark.createDataFrame(own + repeated, "file_id long, path string, content string")
+    assert generated.Lexed([repeated[0][2]]).diversity()[0] > 0.35
+    got = {r["file_id"] for r in generated.not_hand_written(files).where("template").collect()}
+    assert got == {90, 91}
+    assert generated.usual_diversity([]) == {} and generated.usual_diversity([(7, 9, 0.8), (9, 1, 0.1), (5, 1, 0.1)]) == pytest.approx({5: 0.8, 6: 0.8, 7: 0.8, 8: 0.64, 9: 0.512})
+
+
 def test_generated_awkward_rows(spark):
     rng = random.Random(1)
     name = lambda: rng.choice(["load", "save", "open", "close"]) + rng.choice(["Table", "Window", "Record"])
