@@ -46,22 +46,23 @@ def reachable_calls(entries: DataFrame, calls: DataFrame) -> DataFrame:
 
     A call at position i of its caller is met after i siblings, so a path costs the
     sum of (i + 1) over its calls, and none beyond MAX_STEPS can belong to the walk.
+    One call more is kept: it shows that the walk was cut.
     With at most MAX_DEPTH hops this bounds every entry's share, whatever the graph.
     ``calls``: part, caller, callee, call_order (and branch). Expanded by one join a hop.
     """
     scratch = Scratch(calls.sparkSession, "flows")
     order = Window.partitionBy("part", "caller").orderBy("call_order", "callee")
-    near = calls.select("part", "caller", "callee", "branch", (F.row_number().over(order) - 1).alias("pos")).where(F.col("pos") < MAX_STEPS)
+    near = calls.select("part", "caller", "callee", "branch", (F.row_number().over(order) - 1).alias("pos")).where(F.col("pos") <= MAX_STEPS)
     near = scratch.write(near, "calls")
     reached = entries.select("part", F.col("node").alias("entry"), F.col("node").alias("caller"), F.lit(0).alias("cost"))
     front = reached
     for _ in range(MAX_DEPTH - 1):
         step = front.join(near, ["part", "caller"]).select("part", "entry", F.col("callee").alias("caller"), (F.col("cost") + F.col("pos") + 1).alias("cost"))
-        front = step.where(F.col("cost") < MAX_STEPS).groupBy("part", "entry", "caller").agg(F.min("cost").alias("cost"))
+        front = step.where(F.col("cost") <= MAX_STEPS).groupBy("part", "entry", "caller").agg(F.min("cost").alias("cost"))
         front = scratch.write(front, "front")
         reached = reached.unionByName(front)
     best = reached.groupBy("part", "entry", "caller").agg(F.min("cost").alias("cost"))
-    return best.join(near, ["part", "caller"]).where(F.col("cost") + F.col("pos") < MAX_STEPS).drop("cost")
+    return best.join(near, ["part", "caller"]).where(F.col("cost") + F.col("pos") <= MAX_STEPS).drop("cost")
 
 
 STEP = "part long, entry long, step int, parent int, caller long, callee long, depth int, recursion boolean, branch int, truncated boolean"

@@ -134,6 +134,16 @@ def test_walk_matches_brute_force(spark):
         assert sorted(got.get(v, [])) == brute_walk(v, calls)
 
 
+@pytest.mark.parametrize(("first", "leaves", "cut"), [(0, 40, False), (0, 41, True), (1, 39, False), (1, 40, True)])
+def test_one_call_too_many_is_seen(spark, first, leaves, cut):
+    """A flow with one call more than fits is truncated, also where that call leads to a leaf or comes from a callee."""
+    hub = 2 if first else 1
+    calls = [(1, 1, 2, 0, None)] * first + [(1, hub, 100 + i, i, None) for i in range(leaves)]
+    df = spark.createDataFrame(calls, "part long, caller long, callee long, call_order int, branch int")
+    rows = flows.flow_steps(spark.createDataFrame([(1, 1)], "part long, node long"), df).collect()
+    assert len(rows) == 40 and {r["truncated"] for r in rows} == {cut}
+
+
 def test_walk_fixture():
     steps, cut = flows.walk(1, {1: [(2, None), (3, None)], 2: [(3, None)], 3: [(1, None)]})
     assert [(s["callee"], s["depth"], s["recursion"]) for s in steps] == [(2, 0, False), (3, 1, False), (1, 2, True), (3, 0, True)] and not cut
