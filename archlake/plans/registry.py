@@ -549,6 +549,57 @@ def _(m):
     return _call_graph(m).report()
 
 
+def _function_flows(m):
+    """Walks over the functions of the texts and their resolved calls, flagged with type contracts; ``part`` is the report."""
+    from archlake.operators.extraction import types_of
+    from archlake.operators.flows import entry_points, flow_steps, step_flags
+    from archlake.operators.shapes import contracts
+    from archlake.session import Scratch
+
+    g, scratch = _call_graph(m), Scratch(m.spark, "function-flows")
+    keys = ["part", "path", "order"]
+    node = lambda path="path", order="order": F.xxhash64("part", path, order)
+    resolved = scratch.write(g.calls.where("resolution = 'resolved'").select(
+        "part", node().alias("caller"), node("target_module", "target_order").alias("callee"), "call_order", F.col("branch_id").cast("int").alias("branch")
+    ), "calls")
+    out = resolved.groupBy("part", F.col("caller").alias("node")).agg(F.count(F.lit(1)).alias("out_calls"))
+    functions = g.functions.select(*keys, node().alias("node"), "name", "exported", F.size("params").alias("surface")).join(out, ["part", "node"], "left").fillna(0, ["out_calls"])
+    functions = scratch.write(functions.withColumn("module", F.col("path")), "functions")
+    entries = scratch.write(entry_points(functions), "entries")
+    steps = scratch.write(flow_steps(entries, resolved), "steps")
+    reports = m.t("dupe_reports").select("report_id", "snapshot_id").distinct()
+    of = lambda t: t.join(reports, "snapshot_id").withColumnRenamed("report_id", "part")
+    metrics = of(m.metrics().join(m.components(), ["snapshot_id", "id"])).select("part", "path", "scc_id", "scc_size", "instability")
+    nodes = functions.select("part", "path", "node").join(metrics, ["part", "path"], "left")
+    types = contracts(g.functions, types_of(g.facts), g.bindings).select("part", node().alias("node"), "slot", "name", "untyped", "missing")
+    return entries, steps, step_flags(steps, nodes, of(m.violations()).select("part", "from_path", "to_path"), of(trends.changed_paths(m.delta())).select("part", "path"), types)
+
+
+@query("function_flow_steps")
+def _(m):
+    return _function_flows(m)[1]
+
+
+@query("function_fragility_flags")
+def _(m):
+    return _function_flows(m)[2].select("part", "entry", "step", F.explode("flags").alias("f")).select("part", "entry", "step", "f.*")
+
+
+@query("function_fragility_summary")
+def _(m):
+    from archlake.operators.flows import flow_summaries, fragility_summary
+
+    entries, _, flagged = _function_flows(m)
+    return flow_summaries(entries, fragility_summary(flagged))
+
+
+@query("function_step_severities")
+def _(m):
+    from archlake.operators.flows import step_severities
+
+    return step_severities(_function_flows(m)[2])
+
+
 @query("type_contracts")
 def _(m):
     from archlake.operators.extraction import types_of

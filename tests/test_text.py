@@ -154,6 +154,27 @@ def test_fragility(spark):
     assert (s["steps"], s["fragile_steps"], s["max_severity"], s["type_flags"], s["fragile_percent"]) == (2, 2, "Error", 3, 100)
 
 
+def test_type_flags_of_function_flows(spark, tmp_path):
+    """The registered walk over functions gives the three type flags; the walks over modules have none."""
+    import os
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from archlake.plans import registry
+    from tests.helpers import DATA
+
+    for name in os.listdir(DATA):
+        if name != "source_files.parquet":
+            os.symlink(f"{DATA}/{name}", tmp_path / name)
+    files = pq.read_table(f"{DATA}/source_files.parquet")
+    row = next(r for r in files.slice(0, 100).to_pylist() if r["report_id"] is not None)
+    row |= {"file_id": 10**9, "path": "src/zz.ts", "content": "export function begin() { take(1, 2); }\nfunction take(p: any, q): any { }"}
+    pq.write_table(pa.concat_tables([files, pa.Table.from_pylist([row], files.schema)]), tmp_path / "source_files.parquet")
+    flags = registry.QUERIES["function_fragility_flags"](spark, str(tmp_path)).where("source = 'type'")
+    assert [r["code"] for r in flags.collect()] == ["any_payload", "untyped_boundary", "any_return"]
+
+
 def test_scan_and_store(spark, tmp_path):
     root = tmp_path / "repo"
     for p, text in (("src/a.ts", b"x\n"), ("src/b.js", b"\xff\xfe"), ("node_modules/z.ts", b""), ("readme.md", b"")):
