@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 
 def exact_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, similarity of ``pairs`` (a, b) whose Jaccard similarity reaches the threshold.
+    """a, b, similarity of ``pairs`` (a, b, threshold: float) whose Jaccard similarity reaches the threshold.
 
-    ``sets``: id, threshold (float), items (binary: sorted distinct 64-bit hashes).
-    Both sides of a comparison are 32-bit floats, as in the metric's definition.
+    ``sets``: id, items (binary: sorted distinct 64-bit hashes). Both sides of a
+    comparison are 32-bit floats, as in the metric's definition. The sets are
+    shuffled once, for both ends of the pairs.
     """
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -27,9 +28,10 @@ def exact_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             x = x.assign(similarity=np.array(sims, np.float32))
             yield x.loc[x["similarity"] >= x["threshold"].astype(np.float32), ["a", "b", "similarity"]]
 
-    left = sets.select(F.col("id").alias("a"), F.col("items").alias("ia"), "threshold")
-    right = sets.select(F.col("id").alias("b"), F.col("items").alias("ib"))
-    return pairs.join(left, "a").join(right, "b").mapInPandas(verify, "a long, b long, similarity float")
+    by_id = sets.select("id", "items").repartition("id")
+    with_a = pairs.select("a", "b", "threshold").join(by_id.select(F.col("id").alias("a"), F.col("items").alias("ia")), "a")
+    both = with_a.join(by_id.select(F.col("id").alias("b"), F.col("items").alias("ib")), "b")
+    return both.mapInPandas(verify, "a long, b long, similarity float")
 
 
 def prefix_length(size: Column, threshold: Column) -> Column:
@@ -38,7 +40,7 @@ def prefix_length(size: Column, threshold: Column) -> Column:
 
 
 def prefix_candidates(sets: DataFrame) -> DataFrame:
-    """a < b: all pairs of one part that can reach the threshold; exact, nothing is lost.
+    """a < b, threshold: all pairs of one part that can reach the threshold; exact, nothing is lost.
 
     ``sets``: id, part, threshold, size, tokens (array<long>). Items are ordered by
     how many sets of the part hold them; only each set's rarest prefix is joined,
@@ -64,4 +66,4 @@ def prefix_candidates(sets: DataFrame) -> DataFrame:
     a = prefix.select(F.col("id").alias("a"), "part", "token", "threshold", F.col("size").alias("sa"))
     b = prefix.select(F.col("id").alias("b"), "part", "token", F.col("size").alias("sb"))
     fits = F.least("sa", "sb") >= F.col("threshold").cast("double") * F.greatest("sa", "sb") - 1e-6
-    return a.join(b, ["part", "token"]).where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+    return a.join(b, ["part", "token"]).where((F.col("a") < F.col("b")) & fits).select("a", "b", "threshold").distinct()

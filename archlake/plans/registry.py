@@ -619,19 +619,27 @@ def _(m):
     return i.groupBy("part").agg(F.count(F.lit(1)).alias("relative"), F.count("target").alias("resolved"), F.count_if(F.col("target") == F.col("to_path")).alias("as_recorded"))
 
 
+def _similar(m):
+    from archlake.operators.dupes import SimilarFiles
+
+    return SimilarFiles(_files(m))
+
+
 @query("source_dupe_pairs")
 def _(m):
-    from archlake.operators.dupes import similar_pairs
+    return _similar(m).pairs
 
-    return similar_pairs(_files(m))
+
+@query("source_dupe_members")
+def _(m):
+    return _similar(m).members
 
 
 @query("source_dupe_clusters")
 def _(m):
-    from archlake.operators.dupes import clusters, similar_pairs
+    from archlake.operators.dupes import cluster_order
 
-    f = _files(m)
-    return clusters(similar_pairs(f), f)
+    return cluster_order(_similar(m).clusters())
 
 
 _RECORDED = f"""lk AS (SELECT report_id, pa, pb, max(similarity) AS similarity FROM (

@@ -37,7 +37,8 @@ def test_shingles_by_batch():
     assert len(np.intersect1d(sets[0], sets[3])) == 1 and (sets[0] == sets[4]).all()
 
 
-def test_similar_pairs_are_exact(spark):
+def test_similar_files_are_exact(spark):
+    """Classes and their members give brute force's pairs; clusters weigh copies as the pairs they stand for."""
     rng = random.Random(2)
     base = [[f"w{rng.randrange(400)}" for _ in range(60)] for _ in range(12)]
     texts = []
@@ -47,24 +48,82 @@ def test_similar_pairs_are_exact(spark):
             for _ in range(rng.randrange(12)):
                 c[rng.randrange(60)] = f"z{rng.randrange(400)}"
             texts.append(" ".join(c))
-    texts += [None, "", "a b c"]
-    rows = [(i, 1 + i % 2, t) for i, t in enumerate(texts)]
-    files = spark.createDataFrame(rows, "id long, part long, content string")
+    texts += [texts[0]] * 5 + [texts[1] + " // a comment"] * 2 + [None, "", "a b c"]
+    rows = [(i, 1 + i % 2, t, "clash") for i, t in enumerate(texts)]
+    files = spark.createDataFrame(rows + [(None, 1, texts[0], ""), (500, None, texts[0], ""), rows[3]], "id long, part long, content string, rep string")
     sets = {}
-    for i, _, t in rows:
+    for i, _, t, _ in rows:
         if t:
             w = tokens(t)
             sets[i] = {tuple(w[k : k + 4]) for k in range(len(w) - 3)}
-    want = set()
-    for i, p, t in rows:
-        for j, q, u in rows[:i]:
-            if p == q and t and u and sets[i] and sets[j] and np.float32(len(sets[i] & sets[j])) / np.float32(len(sets[i] | sets[j])) >= np.float32(0.6):
-                want.add((j, i))
-    found = dupes.similar_pairs(files)
-    assert {(r["a"], r["b"]) for r in found.collect()} == want and want
-    clusters = dupes.clusters(found, files)
-    assert clusters.where("files < 2").count() == 0
-    assert dupes.report(clusters, files).agg(F.sum("files_analyzed")).first()[0] == len(rows)
+    want, linked = {}, {i: i for i in sets}
+    for i, p, t, _ in rows:
+        for j, q, u, _ in rows[:i]:
+            if p == q and t and u and sets[i] and sets[j]:
+                s = np.float32(len(sets[i] & sets[j])) / np.float32(len(sets[i] | sets[j]))
+                if s >= np.float32(0.6):
+                    want[j, i] = float(s)
+    for _ in linked:
+        for j, i in want:
+            linked[i] = linked[j] = min(linked[i], linked[j])
+    similar = dupes.SimilarFiles(files)
+    of: dict[int, list[int]] = {}
+    for r in similar.members.collect():
+        of.setdefault(r["rep"], []).append(r["id"])
+    got = {tuple(sorted((x, y))) for r in similar.pairs.collect() for x in of[r["a"]] for y in of[r["b"]]}
+    got |= {(x, y) for ids in of.values() for x in ids for y in ids if x < y}
+    assert got == set(want) and len(want) > 30
+    clusters = dupes.cluster_order(similar.clusters()).collect()
+    for c in clusters:
+        ids = {i for i, low in linked.items() if low == c["cluster"]}
+        inside = [s for (j, _), s in want.items() if j in ids]
+        assert c["files"] == len(ids) > 1 and abs(c["similarity"] - sum(inside) / len(inside)) < 0.0051
+    for part in (1, 2):
+        keys = [(-c["files"], -c["similarity"], c["cluster"]) for c in sorted((c for c in clusters if c["part"] == part), key=lambda c: c["place"])]
+        assert keys == sorted(keys)
+    assert len(clusters) == len({linked[i] for p in want for i in p})
+    assert dupes.report(similar.clusters(), spark.createDataFrame(rows, files.schema)).agg(F.sum("files_analyzed")).first()[0] == len(rows)
+    empty = dupes.SimilarFiles(files.limit(0))
+    assert empty.pairs.count() == empty.members.count() == empty.clusters().count() == 0
+
+
+def test_many_copies_make_one_class(spark):
+    """Two thousand copies of one file are a class of two thousand members, without a pair of copies."""
+    text = " ".join(f"w{i}" for i in range(300))
+    files = spark.range(2000).select("id", F.lit(1).cast("long").alias("part"), F.lit(text).alias("content"))
+    files = files.union(spark.createDataFrame([(5000, 1, text + " tail")], "id long, part long, content string"))
+    similar = dupes.SimilarFiles(files)
+    assert [(r["a"], r["b"]) for r in similar.pairs.collect()] == [(0, 5000)]
+    assert similar.members.where("rep = 0").count() == 2000
+    c = similar.clusters().first()
+    assert (c["cluster"], c["files"], c["similarity"]) == (0, 2001, 1.0)
+
+
+def test_cluster_files_are_sorted(spark):
+    rows = spark.createDataFrame([(1, "a", "z.ts"), (1, "a", "b.ts"), (1, "c", "x.ts")], "part long, cluster string, path string")
+    assert [(r["path"], r["file_place"]) for r in dupes.cluster_files(rows).orderBy("cluster", "file_place").collect()] == [("b.ts", 1), ("z.ts", 2), ("x.ts", 1)]
+
+
+def test_scan_gives_every_file_once(spark, tmp_path):
+    """More text than one partition's advisory size, at default settings; pruned folders are not read."""
+    body = "const a = 1;\n" * 9000
+    for i in range(200):
+        folder = tmp_path / "repo" / f"src [{i % 7}]" / "x"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"f{i:03d}.ts").write_text(body)
+    for name in ("node_modules/p", ".git", "src/dist"):
+        (tmp_path / "repo" / name).mkdir(parents=True)
+        (tmp_path / "repo" / name / "no.ts").write_text("x")
+    (tmp_path / "repo" / "readme.md").write_text("x")
+    (tmp_path / "repo" / "bad.js").write_bytes(b"\xff\xfe\xfa")
+    found = scan_repository(spark, str(tmp_path / "repo"))
+    rows = found.select("id", "path", "loc").collect()
+    assert len(rows) == found.count() == 201
+    assert [r["path"] for r in sorted(rows, key=lambda r: r["id"])] == sorted(r["path"] for r in rows) and sorted(r["id"] for r in rows) == list(range(201))
+    assert {r["loc"] for r in rows} == {0, 9000} and found.where("content is null").select("path").first()[0] == "bad.js"
+    assert not any("node_modules" in f or "/dist/" in f for f in found.inputFiles())
+    (tmp_path / "empty").mkdir()
+    assert scan_repository(spark, str(tmp_path / "empty")).count() == 0
 
 
 def test_paths_and_lines(spark):
