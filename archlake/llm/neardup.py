@@ -31,7 +31,7 @@ DEFAULT_THRESHOLD = 0.60
 
 
 @cache
-def bands(threshold: float, miss: float, most_rows: int = 5, most_bands: int = 128) -> tuple[int, int]:
+def bands(threshold: float, miss: float, most_rows: int = 4, most_bands: int = 128) -> tuple[int, int]:
     """(rows, bands): the most selective banding that misses a pair at the threshold with probability ``miss`` at most."""
     t = min(max(threshold, 0.05), 0.999)
     for rows in range(most_rows, 0, -1):
@@ -123,7 +123,7 @@ def _prune(miss: float):
                         need[t[alive] == v] = lim[step]
                     alive = alive[m[alive] >= need]
                 x = x.iloc[alive]
-            yield x[["a", "b"]]
+            yield x[["a", "b", "threshold"]]
 
     return prune
 
@@ -136,7 +136,7 @@ def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _item_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for x in _slices(batches):
-        yield pd.DataFrame({"id": x["file_id"], "threshold": x["threshold"], "items": [s.tobytes() for s in batch_shingles(x["content"])]})
+        yield pd.DataFrame({"id": x["file_id"], "items": [s.tobytes() for s in batch_shingles(x["content"])]})
 
 
 def _token_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,39 +178,39 @@ class NearDuplicates:
         copies = self.members.where("file_id <> rep").select("file_id")
         alone = sketches.join(copies, "file_id", "left_anti")
 
-        # most buckets hold one or two files: their pair is the bucket's minimum and maximum
+        # most buckets hold one or two files: a pair is its bucket's minimum and maximum, and only what is
+        # left, the buckets of three and more, is looked up again
         banded = alone.select("file_id", F.explode("keys").alias("key"))
         buckets = scratch.write(
             banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("file_id").alias("a"), F.max("file_id").alias("b")).where("a < b"),
             "buckets",
         )
         twos = buckets.where("n = 2").select("a", "b")
-        crowd = banded.join(buckets.where(f"n > 2 and n <= {hot_bucket}").select("key"), "key")
+        crowd = scratch.write(banded.join(buckets.where("n > 2").select("key", "n"), "key"), "crowd")
+        common = crowd.where(F.col("n") <= hot_bucket)
         some = (
-            crowd.select("key", F.col("file_id").alias("a"))
-            .join(crowd.select("key", F.col("file_id").alias("b")), "key")
+            common.select("key", F.col("file_id").alias("a"))
+            .join(common.select("key", F.col("file_id").alias("b")), "key")
             .where("a < b")
             .select("a", "b")
         )
-        hot_files = banded.join(buckets.where(f"n > {hot_bucket}").select("key"), "key").select("file_id").distinct()
+        hot_files = crowd.where(F.col("n") > hot_bucket).select("file_id").distinct()
         hot = texts.join(hot_files, "file_id", "left_semi").mapInPandas(
             _token_sets, "id long, part long, threshold float, size int, tokens array<long>"
         )
-        candidates = twos.union(some).union(prefix_candidates(scratch.write(hot, "hot"))).distinct()
+        candidates = twos.union(some).union(prefix_candidates(scratch.write(hot, "hot")).select("a", "b")).distinct()
 
         sig = alone.select("file_id", "sig", "threshold")
         survivors = scratch.write(
             candidates.join(sig.select(F.col("file_id").alias("a"), F.col("sig").alias("sa"), "threshold"), "a")
             .join(sig.select(F.col("file_id").alias("b"), F.col("sig").alias("sb")), "b")
-            .mapInPandas(_prune(miss), "a long, b long"),
+            .mapInPandas(_prune(miss), "a long, b long, threshold float"),
             "survivors",
         )
+        scratch.drop(sketches, buckets, crowd)
         wanted = survivors.select(F.col("a").alias("file_id")).union(survivors.select("b")).distinct()
-        sets = scratch.write(
-            texts.dropDuplicates(["file_id"]).join(wanted, "file_id", "left_semi").mapInPandas(_item_sets, "id long, threshold float, items binary"),
-            "sets",
-        )
-        self.pairs = exact_pairs(survivors, sets)
+        sets = texts.join(wanted, "file_id", "left_semi").dropDuplicates(["file_id"]).mapInPandas(_item_sets, "id long, items binary")
+        self.pairs = scratch.write(exact_pairs(survivors, sets), "pairs")
 
     def expanded(self) -> DataFrame:
         """file_id_a, file_id_b: every pair of files, copies included."""
