@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings a session needs for results that do not depend on the host.
 SESSION_CONF = {
@@ -67,6 +68,13 @@ class Scratch:
         out._archlake_path = path
         return out
 
+    def write_counting(self, df: DataFrame, name: str, **sums: Column) -> tuple[DataFrame, dict[str, int]]:
+        """As ``write``, with the sums of ``sums`` over the rows, taken while they are written."""
+        seen = Observation()
+        out = self.write(df.observe(seen, *[F.sum(c.cast("long")).alias(k) for k, c in sums.items()]), name)
+        found = seen.get  # without rows there is nothing to observe
+        return out, {k: int(found.get(k) or 0) for k in sums}
+
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
             path = getattr(table, "_archlake_path", None)
