@@ -2,15 +2,16 @@
 
 Low-diameter decomposition: every record draws an exponentially distributed head
 start, clusters grow from the records whose turn comes first and reach one hop
-further per round; each cluster contracts to one super-record, and the same is
-done with the links that remain between clusters. The assignments of all levels
+further per unit of time; each cluster contracts to one super-record, and the same
+is done with the links that remain between clusters. The assignments of all levels
 composed give every record its group.
 
-A head start is capped at ``radius``, so a level takes ``radius`` rounds: the cap
-changes how large clusters grow, never which records end in one group, because a
-record and its cluster's centre are always connected. ``beta`` is the rate of the
-distribution; an edge stays between clusters with a probability of at most about
-``1 - exp(-beta)``, so the number of levels is logarithmic in the number of links.
+Growth is computed round by round: a record passes on the earliest arrival it has
+seen, and only records whose arrival improved in the round before do so, until
+none did. A cluster is as deep as its head starts make it, about ``log(n) / beta``
+hops at most; ``beta`` is the rate of the distribution. A link stays between
+clusters with a probability of about ``1 - exp(-beta)``, so the number of levels is
+logarithmic in the number of links.
 """
 
 from __future__ import annotations
@@ -22,63 +23,86 @@ from archlake.functions.paths import canonical_path
 from archlake.session import Scratch
 
 DEFAULT_THRESHOLD = 0.60
+#: one hop in the fixed-point numbers that times are kept in
+HOP = 1 << 32
+#: rounds of growth planned as one job; the shuffled links are shared among them
+ROUNDS = 4
+#: links of one record that a task takes at least; more are split if they exceed its share
+HOT = 100_000
 
 
-def _start(v: Column, level: int, beta: float, radius: int) -> Column:
-    """The time at which ``v`` begins a cluster of its own: radius minus its capped head start."""
+def _start(v: Column, level: int, beta: float) -> Column:
+    """The time at which ``v`` begins a cluster of its own: zero minus its head start."""
     u = (F.pmod(F.xxhash64(v, F.lit(level)), F.lit(1 << 40)) + F.lit(1.0)) / F.lit(float((1 << 40) + 1))
-    return F.greatest(F.lit(float(radius)) + F.log(u) / F.lit(beta), F.lit(0.0)) + u * F.lit(1e-6)
+    return (F.log(u) * F.lit(HOP / beta)).cast("long")
 
 
-def _grow(links: DataFrame, level: int, beta: float, radius: int) -> DataFrame:
+def _arrive(df: DataFrame) -> DataFrame:
+    """v, centre, at and fresh: the earliest arrival at every record, and whether it is earlier than ``was``."""
+    first = df.groupBy("v").agg(F.min_by("centre", "at").alias("centre"), F.min("at").alias("at"), F.min("was").alias("was"))
+    return first.select("v", "centre", "at", (F.col("at") < F.col("was")).alias("fresh"))
+
+
+def _shards(both: DataFrame, total: int, hot: int) -> DataFrame | None:
+    """v, shards of records with so many links that a task would wait for them: at most 4 a task. None without any."""
+    limit = max(hot, total // (4 * int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    if total <= limit:
+        return None
+    found = both.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).collect()
+    return both.sparkSession.createDataFrame([(r["v"], -(-r["n"] // limit)) for r in found], "v long, shards int") if found else None
+
+
+def _grow(links: DataFrame, total: int, level: int, beta: float, hot: int, scratch: Scratch) -> DataFrame:
     """v, centre: the cluster that reaches every linked record first."""
-    sa, sb = _start(F.col("a"), level, beta, radius), _start(F.col("b"), level, beta, radius)
-    first = links.select(
-        F.explode(
-            F.array(
-                F.struct(F.col("a").alias("v"), F.least(sa, sb + 1).alias("at"), F.when(sa <= sb + 1, F.col("a")).otherwise(F.col("b")).alias("centre")),
-                F.struct(F.col("b").alias("v"), F.least(sb, sa + 1).alias("at"), F.when(sb <= sa + 1, F.col("b")).otherwise(F.col("a")).alias("centre")),
-            )
-        ).alias("x")
-    ).select("x.*")
-
-    def arrive(df: DataFrame) -> DataFrame:
-        return df.groupBy("v").agg(F.min_by("centre", "at").alias("centre"), F.min("at").alias("at"))
-
-    reached = arrive(first)
     both = links.select(F.col("a").alias("v"), F.col("b").alias("to")).union(links.select("b", "a"))
-    for _ in range(radius - 1):
-        step = both.join(reached, "v").select(
-            F.explode(F.array(F.struct(F.col("to").alias("v"), (F.col("at") + 1).alias("at"), "centre"), F.struct("v", F.col("at").alias("at"), "centre"))).alias("x")
-        )
-        reached = arrive(step.select("x.*"))
+    shards = _shards(both, 2 * total, hot)
+    # the first round needs no shuffle of its own: both ends of a link know each other's start
+    own, other = _start(F.col("v"), level, beta), _start(F.col("to"), level, beta) + HOP
+    nearer = both.select("v", F.when(other < own, F.col("to")).otherwise(F.col("v")).alias("centre"), F.least(own, other).alias("at"), own.alias("was"))
+    reached, moved = scratch.write_counting(_arrive(nearer), "reached", fresh=F.col("fresh"))
+    if shards is not None:
+        both = both.join(F.broadcast(shards), "v", "left").withColumn("shard", F.coalesce(F.pmod(F.xxhash64("to"), "shards"), F.lit(0)))
+
+    def pass_on(fresh: DataFrame) -> DataFrame:
+        if shards is None:
+            return both.join(fresh, "v")
+        copies = fresh.join(F.broadcast(shards), "v", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.coalesce("shards", F.lit(1)) - 1)).cast("long"))
+        return both.drop("shards").join(copies.drop("shards"), ["v", "shard"])
+
+    while moved["fresh"]:
+        now = reached
+        for _ in range(ROUNDS):
+            sent = pass_on(now.where("fresh")).select(F.col("to").alias("v"), "centre", (F.col("at") + HOP).alias("at"), F.lit(None).cast("long").alias("was"))
+            now = _arrive(now.select("v", "centre", "at", F.col("at").alias("was")).unionByName(sent))
+        later, moved = scratch.write_counting(now, "reached", fresh=F.col("fresh"))
+        scratch.drop(reached)
+        reached = later
     return reached.select("v", "centre")
 
 
-def connected_groups(links: DataFrame, beta: float = 0.3, radius: int = 6, max_levels: int = 60) -> DataFrame:
+def connected_groups(links: DataFrame, beta: float = 0.3, hot: int = HOT) -> DataFrame:
     """v, root for every record of ``links`` (a, b: bigint); equal roots mean linked directly or indirectly.
 
     Self links and repeats are ignored, links with a null end too; no links give
-    no rows. Each level is written to the session's shared folder. ``beta * radius``
-    must reach 1.5, else most head starts hit the cap and clusters hardly grow.
+    no rows. Each level is written to the session's shared folder. A record with
+    more links than ``hot`` and than a quarter of a task's share has them split over
+    tasks while clusters grow; a cluster or group that holds much of all records is
+    split by the adaptive skew join, as both sides of those joins are plain shuffles.
     """
-    if beta * radius < 1.5:
-        raise ValueError("beta * radius must be at least 1.5")
     scratch = Scratch(links.sparkSession, "groups")
-    now = scratch.write(
-        links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links"
+    one = F.lit(1)
+    now, left = scratch.write_counting(
+        links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links", n=one
     )
     levels: list[DataFrame] = []
-    while not now.isEmpty():
-        if len(levels) == max_levels:
-            raise RuntimeError(f"links remain after {max_levels} levels")
-        grown = scratch.write(_grow(now, len(levels), beta, radius), "level")
+    while left["n"]:
+        grown = _grow(now, left["n"], len(levels), beta, hot, scratch)
         levels.append(grown)
         ends = now.join(grown.select(F.col("v").alias("a"), F.col("centre").alias("ca")), "a").join(
             grown.select(F.col("v").alias("b"), F.col("centre").alias("cb")), "b"
         )
         between = ends.where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
-        later = scratch.write(between, "links")
+        later, left = scratch.write_counting(between, "links", n=one)
         scratch.drop(now)
         now = later
     if not levels:
@@ -109,7 +133,7 @@ def accepted_pairs(reports: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def file_groups(reports: DataFrame, pairs: DataFrame, beta: float = 0.3, radius: int = 6) -> DataFrame:
+def file_groups(reports: DataFrame, pairs: DataFrame, beta: float = 0.3) -> DataFrame:
     """report_id, path, group_path: every linked file with the smallest path (by bytes) of its group.
 
     Files are numbered by a 64-bit hash of (report, path); a collision is looked
@@ -119,17 +143,19 @@ def file_groups(reports: DataFrame, pairs: DataFrame, beta: float = 0.3, radius:
     linked = scratch.write(accepted_pairs(reports, pairs).select("report_id", "pa", "pb"), "pairs")
     for seed in range(8):
         numbered = linked.withColumns({"a": F.xxhash64(F.lit(seed), "report_id", "pa"), "b": F.xxhash64(F.lit(seed), "report_id", "pb")})
-        files = (
+        files = scratch.write(
             numbered.select(F.col("a").alias("v"), "report_id", F.col("pa").alias("path"))
             .unionByName(numbered.select(F.col("b").alias("v"), "report_id", F.col("pb").alias("path")))
-            .distinct()
+            .distinct(),
+            "files",
         )
-        if files.count() == files.agg(F.count_distinct("v")).first()[0]:
+        if files.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
             break
     else:
         raise RuntimeError("hashes of files collide")
-    members = files.join(connected_groups(numbered.select("a", "b"), beta, radius), "v")
-    names = members.groupBy("root").agg(F.min("path").alias("group_path"))
+    members = scratch.write(files.join(connected_groups(numbered.select("a", "b"), beta), "v"), "members")
+    # written first: an aggregation right below the join would keep a giant group from being split
+    names = scratch.write(members.groupBy("root").agg(F.min("path").alias("group_path")), "names")
     return members.join(names, "root").select("report_id", "path", "group_path")
 
 

@@ -209,7 +209,9 @@ class NearDuplicates:
         )
         scratch.drop(sketches, buckets, crowd)
         wanted = survivors.select(F.col("a").alias("file_id")).union(survivors.select("b")).distinct()
-        sets = texts.join(wanted, "file_id", "left_semi").dropDuplicates(["file_id"]).mapInPandas(_item_sets, "id long, items binary")
+        sets = scratch.write(
+            texts.join(wanted, "file_id", "left_semi").dropDuplicates(["file_id"]).mapInPandas(_item_sets, "id long, items binary"), "sets"
+        )
         self.pairs = scratch.write(exact_pairs(survivors, sets), "pairs")
 
     def expanded(self) -> DataFrame:

@@ -44,21 +44,51 @@ def test_groups(spark):
     assert components.file_groups(reports, pairs.limit(0)).count() == 0 and components.file_groups(reports.limit(0), pairs).count() == 0
 
 
-@pytest.mark.parametrize(("beta", "radius"), [(0.3, 6), (0.7, 3)])
-def test_decomposition_is_exact(spark, beta, radius):
-    rng = random.Random(radius)
+@pytest.mark.parametrize("beta", [0.1, 0.3, 2.0])
+def test_decomposition_is_exact(spark, beta):
+    rng = random.Random(6)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(None, 3), (4, None)]
     low = {v: v for l in links if None not in l for v in l}
     for _ in range(300):
         for a, b in links:
             if a is not None and b is not None:
                 low[a] = low[b] = min(low[a], low[b])
-    got = {r["v"]: r["root"] for r in components.connected_groups(spark.createDataFrame(links, "a long, b long"), beta, radius).collect()}
+    got = {r["v"]: r["root"] for r in components.connected_groups(spark.createDataFrame(links, "a long, b long"), beta).collect()}
     linked = {v for l in links if None not in l and l[0] != l[1] for v in l}
     assert set(got) == linked
     assert {frozenset(v for v in got if got[v] == r) for r in got.values()} == {frozenset(v for v in linked if low[v] == x) for x in {low[v] for v in linked}}
 
 
+def test_giant_group_is_split(spark):
+    """A hub with most links, a chain and pairs; every join of the last step sees its hot partition split."""
+    links = [(0, i) for i in range(1, 9000)] + [(10_000 + i, 10_001 + i) for i in range(100)] + [(20_000 + 2 * i, 20_001 + 2 * i) for i in range(400)]
+    want = {**{i: 0 for i in range(9000)}, **{10_000 + i: 10_000 for i in range(101)}, **{20_000 + i: 20_000 + i // 2 * 2 for i in range(800)}}
+    reports = spark.createDataFrame([(1, 1, 0.5, "r")], REPORTS)
+    pairs = spark.createDataFrame([(1, f"{a:06d}", f"{b:06d}", 0.9, None, None) for a, b in links], PAIRS)
+    keys = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1b", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        joined = components.file_groups(reports, pairs)
+        got = {int(r["path"]): int(r["group_path"]) for r in joined.collect()}
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
+    assert got == want
+    assert "skew=true" in plan
+
+
+@pytest.mark.parametrize("hot", [50, 5000])
+def test_hot_record_is_split(spark, hot):
+    """The links of a record above the bound travel in shards; the groups stay the same."""
+    links = [(0, i) for i in range(1, 600)] + [(i, 700 + i) for i in range(1, 600, 7)] + [(5000, 5001)]
+    frame = spark.createDataFrame(links, "a long, b long")
+    assert (components._shards(frame.select(F.col("a").alias("v"), F.col("b").alias("to")), len(links), hot) is not None) == (hot == 50)
+    got = {r["v"]: r["root"] for r in components.connected_groups(frame, hot=hot).collect()}
+    assert len(got) == len({v for l in links for v in l}) and len({got[v] for v in got if v < 5000}) == 1 and got[5000] == got[5001] != got[0]
+
+
 # --- 2: near duplicates --------------------------------------------------------------------------
 
 
