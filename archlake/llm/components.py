@@ -7,11 +7,14 @@ is done with the links that remain between clusters. The assignments of all leve
 composed give every record its group.
 
 Growth is computed round by round: a record passes on the earliest arrival it has
-seen, and only records whose arrival improved in the round before do so, until
-none did. A cluster is as deep as its head starts make it, about ``log(n) / beta``
-hops at most; ``beta`` is the rate of the distribution. A link stays between
-clusters with a probability of about ``1 - exp(-beta)``, so the number of levels is
-logarithmic in the number of links.
+seen, and only records whose arrival improved in the round before do so. Head
+starts are not capped: a cluster is as deep as they make it, about ``log(n) / beta``
+hops at most, where ``beta`` is the rate of the distribution. Once fewer records
+than a small share of the links still improve (ends of long chains, as a rule),
+they keep the centre they have, and their last links are left to the next level. A
+link stays between clusters with a probability of about ``1 - exp(-beta)``; the rate
+is halved from level to level, as contraction makes the graph shallower, so the
+links that remain vanish faster than geometrically.
 """
 
 from __future__ import annotations
@@ -26,9 +29,11 @@ DEFAULT_THRESHOLD = 0.60
 #: one hop in the fixed-point numbers that times are kept in
 HOP = 1 << 32
 #: rounds of growth planned as one job; the shuffled links are shared among them
-ROUNDS = 4
+ROUNDS = 3
 #: links of one record that a task takes at least; more are split if they exceed its share
 HOT = 100_000
+#: share of the links below which records that still improve are left to the next level
+SETTLED = 0.05
 
 
 def _start(v: Column, level: int, beta: float) -> Column:
@@ -69,7 +74,7 @@ def _grow(links: DataFrame, total: int, level: int, beta: float, hot: int, scrat
         copies = fresh.join(F.broadcast(shards), "v", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.coalesce("shards", F.lit(1)) - 1)).cast("long"))
         return both.drop("shards").join(copies.drop("shards"), ["v", "shard"])
 
-    while moved["fresh"]:
+    while moved["fresh"] > SETTLED * total:
         now = reached
         for _ in range(ROUNDS):
             sent = pass_on(now.where("fresh")).select(F.col("to").alias("v"), "centre", (F.col("at") + HOP).alias("at"), F.lit(None).cast("long").alias("was"))
@@ -80,7 +85,7 @@ def _grow(links: DataFrame, total: int, level: int, beta: float, hot: int, scrat
     return reached.select("v", "centre")
 
 
-def connected_groups(links: DataFrame, beta: float = 0.3, hot: int = HOT) -> DataFrame:
+def connected_groups(links: DataFrame, beta: float = 0.6, hot: int = HOT) -> DataFrame:
     """v, root for every record of ``links`` (a, b: bigint); equal roots mean linked directly or indirectly.
 
     Self links and repeats are ignored, links with a null end too; no links give
@@ -96,7 +101,7 @@ def connected_groups(links: DataFrame, beta: float = 0.3, hot: int = HOT) -> Dat
     )
     levels: list[DataFrame] = []
     while left["n"]:
-        grown = _grow(now, left["n"], len(levels), beta, hot, scratch)
+        grown = _grow(now, left["n"], len(levels), beta / 2 ** len(levels), hot, scratch)
         levels.append(grown)
         ends = now.join(grown.select(F.col("v").alias("a"), F.col("centre").alias("ca")), "a").join(
             grown.select(F.col("v").alias("b"), F.col("centre").alias("cb")), "b"
@@ -133,7 +138,7 @@ def accepted_pairs(reports: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def file_groups(reports: DataFrame, pairs: DataFrame, beta: float = 0.3) -> DataFrame:
+def file_groups(reports: DataFrame, pairs: DataFrame, beta: float = 0.6) -> DataFrame:
     """report_id, path, group_path: every linked file with the smallest path (by bytes) of its group.
 
     Files are numbered by a 64-bit hash of (report, path); a collision is looked

@@ -336,8 +336,10 @@ class Restorer:
         best: list[tuple[int, int, str]] = []
         most = self.proof
         total, letters = sum(x[0] for _, _, x in tests), sum(x[2] for _, _, x in tests)
-        for i in np.argsort(-total)[:4]:
-            if total[i] > max(self.proof, self.gain * letters[i]):
+        for i in np.argsort(-total):
+            if total[i] <= self.proof:
+                break
+            if total[i] > self.gain * letters[i]:
                 changed = [(s, e, x[1][i]) for s, e, x in tests if x[1][i] != text[s:e]]
                 if not all(is_example(text, *c) for c in changed):
                     best, most = changed, float(total[i])

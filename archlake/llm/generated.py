@@ -112,7 +112,7 @@ class Lexed:
 
     def diversity(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct runs of GRAM token shapes per run, over windows of WINDOW runs and over the whole file, and the
-        binary logarithm of the number of runs; 1, 1 and -1 for files too short to tell."""
+        binary logarithm of the number of runs; 1, 1 and -1 for files without a run."""
         shape = (self.codes & 255).astype(np.uint64)
         out, whole, length = np.ones(len(self.sizes)), np.ones(len(self.sizes)), np.full(len(self.sizes), -1)
         if len(shape) < GRAM:
@@ -123,7 +123,7 @@ class Lexed:
         at = 0
         for i, n in enumerate(self.sizes):
             runs = n - GRAM + 1
-            if n >= 3 * GRAM:
+            if runs > 0:
                 kept = sum(len(np.unique(x[at + j : at + min(j + WINDOW, runs)])) for j in range(0, runs, WINDOW))
                 out[i] = kept / runs
                 whole[i] = len(np.unique(x[at : at + runs])) / runs

@@ -54,6 +54,10 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir).shares()
 
 
+def p7_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir).targets_met()
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.restored(table(spark, sf_dir, "documents")).select("doc_id").distinct()
 
@@ -66,7 +70,7 @@ QUERIES = {
     "p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found,
     "p5_found": p5_found, "p5_reasons": p5_reasons,
     "p6_found": p6_found, "p6_items": p6_items,
-    "p7_found": p7_found, "p7_copies": p7_copies, "p7_shares": p7_shares,
+    "p7_found": p7_found, "p7_copies": p7_copies, "p7_shares": p7_shares, "p7_targets": p7_targets,
     "p8_found": p8_found, "p8_restored": p8_restored,
 }
 
@@ -101,6 +105,12 @@ WITH d AS (SELECT lower(trim(source)) AS source, sum(length(text)) AS n FROM doc
 m AS (SELECT t.source, t.target_share, t.max_repeats, coalesce(d.n, 0) AS n
       FROM mix_targets t LEFT JOIN d ON d.source = lower(trim(t.source)))
 SELECT source FROM m WHERE max_repeats * n < target_share * (SELECT sum(n) FROM m)""",
+    "p7_targets": """
+WITH d AS (SELECT lower(trim(source)) AS source, sum(length(text)) AS n FROM documents GROUP BY 1),
+m AS (SELECT t.source, t.target_share, t.max_repeats, coalesce(d.n, 0) AS n
+      FROM mix_targets t LEFT JOIN d ON d.source = lower(trim(t.source))),
+r AS (SELECT source, target_share, max_repeats * n >= target_share * (SELECT sum(n) FROM m) AS reachable FROM m)
+SELECT source, target_share, reachable, reachable AS met FROM r""",
     "p1_found": f"WITH RECURSIVE {_LINKS} SELECT report_id, path, group_path FROM groups",
     "p1_groups": f"""WITH RECURSIVE {_LINKS}
 SELECT g.report_id, g.group_path, count(DISTINCT g.path) AS files,
