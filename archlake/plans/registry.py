@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archlake.operators import graph, rollup, rules, signals, trends
-from archlake.operators.snapshot_delta import history_delta
+from archlake.operators.snapshot_delta import history_delta, module_changes
 from archlake.plans.sql import CANON, MODULES, STEPS
 from archlake.sources.tables import current_modules, deliveries, table
 
@@ -114,6 +114,10 @@ class Model:
     def delta(self) -> DataFrame:
         return history_delta(self.t("snapshots"), self.t("modules"), self.t("edges"))
 
+    def changed(self) -> DataFrame:
+        """snapshot_id, path, delta of modules added or removed."""
+        return module_changes(self.t("snapshots"), self.t("modules"))
+
 
 def query(name: str, sql: str | None = None):
     def register(f):
@@ -287,7 +291,7 @@ def _signals(m):
     r, p = m.t("dupe_reports"), m.t("dupe_pairs").where("file_a is not null and file_b is not null")
     linked = p.join(r.select("report_id", "snapshot_id", F.coalesce("threshold", F.lit(0.6).cast("float")).alias("t")), "report_id").where("similarity >= t and not isnan(similarity)")
     dupes = linked.select("snapshot_id", F.explode(F.array(canonical_path("file_a"), canonical_path("file_b"))).alias("path"))
-    s = signals.module_signals(m.metrics(), m.components(), m.violations(), dupes, m.delta().where("entity = 'module'"))
+    s = signals.module_signals(m.metrics(), m.components(), m.violations(), dupes, m.changed())
     return s.withColumn("instability", F.round("instability", 6))
 
 
@@ -458,7 +462,7 @@ def _flagged(m):
     entries, steps = _flows(m)
     nodes = m.metrics().join(m.components(), ["snapshot_id", "id"]).select(F.col("snapshot_id").alias("part"), F.col("id").alias("node"), "path", "scc_id", "scc_size", "instability")
     bad = m.violations().select(F.col("snapshot_id").alias("part"), "from_path", "to_path")
-    new = trends.changed_paths(m.delta()).withColumnRenamed("snapshot_id", "part")
+    new = m.changed().select(F.col("snapshot_id").alias("part"), "path").distinct()
     return entries, step_flags(steps, nodes, bad, new)
 
 
@@ -572,7 +576,7 @@ def _function_flows(m):
     metrics = of(m.metrics().join(m.components(), ["snapshot_id", "id"])).select("part", "path", "scc_id", "scc_size", "instability")
     nodes = functions.select("part", "path", "node").join(metrics, ["part", "path"], "left")
     types = contracts(g.functions, types_of(g.facts), g.bindings).select("part", node().alias("node"), "slot", "name", "untyped", "missing")
-    return entries, steps, step_flags(steps, nodes, of(m.violations()).select("part", "from_path", "to_path"), of(trends.changed_paths(m.delta())).select("part", "path"), types)
+    return entries, steps, step_flags(steps, nodes, of(m.violations()).select("part", "from_path", "to_path"), of(m.changed()).select("part", "path").distinct(), types)
 
 
 @query("function_flow_steps")

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Settings a session needs for results that do not depend on the host.
 SESSION_CONF = {
@@ -61,13 +62,26 @@ class Scratch:
         self.n = 0
 
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
-        self.n += 1
-        path = f"{self.base}/{self.n:03d}-{name}"
+        path = self.folder(name)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._archlake_path = path
         return out
 
+    def write_by(self, df: DataFrame, column: str, name: str) -> DataFrame:
+        """As ``write``, in one folder per value of ``column``, so that a filter on it reads that folder alone."""
+        path = self.folder(name)
+        df.write.partitionBy(column).parquet(path)
+        rest = [f for f in df.schema if f.name != column]
+        out = self.spark.read.schema(StructType([*rest, df.schema[column]])).parquet(path)
+        out._archlake_path = path
+        return out
+
+    def folder(self, name: str) -> str:
+        """A fresh folder for tables that are written otherwise."""
+        self.n += 1
+        return f"{self.base}/{self.n:03d}-{name}"
+
     def write_counting(self, df: DataFrame, name: str, **sums: Column) -> tuple[DataFrame, dict[str, int]]:
         """As ``write``, with the sums of ``sums`` over the rows, taken while they are written."""
         seen = Observation()

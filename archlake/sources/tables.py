@@ -28,11 +28,11 @@ def current_modules(modules: DataFrame, *extra: str) -> DataFrame:
     return best.select("snapshot_id", F.col("r.id").alias("id"), "path", *[F.col(f"r.{c}").alias(c) for c in extra])
 
 
-def current_module_ids(modules: DataFrame, *extra: str) -> DataFrame:
-    """As current_modules, with path_hash (64 bits) in place of the path: nothing but numbers is shuffled."""
+def current_module_ids(modules: DataFrame, *extra: str, seed: int = 0) -> DataFrame:
+    """As current_modules, with path_hash (64 bits, of seed and path) in place of the path: nothing but numbers is shuffled."""
     rows = modules.select(
         "snapshot_id",
-        F.xxhash64(canonical_path("path")).alias("path_hash"),
+        F.xxhash64(F.lit(seed), canonical_path("path")).alias("path_hash"),
         F.struct("scanned_at", "id", *extra).alias("r"),
     ).where("snapshot_id is not null and path is not null and r.id is not null")
     best = rows.groupBy("snapshot_id", "path_hash").agg(F.max("r").alias("r"))

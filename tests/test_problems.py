@@ -3,8 +3,10 @@
 import datetime as dt
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from archlake.operators.balanced import balanced_counts, fan_in_mismatches, pack, plan_load
-from archlake.operators.snapshot_delta import SnapshotIndex, history_delta, probe
+from archlake.operators.snapshot_delta import SnapshotIndex, history_delta, module_changes, probe
 
 T = dt.datetime(2025, 1, 1)
 S = "snapshot_id long, repo_root string, commit_sha string, snapshot_label string, saved_at timestamp, extra string"
@@ -47,6 +49,12 @@ def test_history(spark):
     }
 
 
+def test_module_changes(spark):
+    s, m, _ = tables(spark)
+    got = {tuple(r) for r in module_changes(s, m).collect()}
+    assert got == {(3, "src/c.ts", "removed"), (3, "src/d.ts", "added"), *((7, f"src/{x}.ts", "removed") for x in "abd")}
+
+
 def test_history_empty(spark):
     s, m, e = (t.limit(0) for t in tables(spark))
     assert history_delta(s, m, e).collect() == []
@@ -60,15 +68,40 @@ def test_probe_null_rules(spark):
 
 
 def test_index_swaps(spark, tmp_path):
-    index = SnapshotIndex(spark, str(tmp_path / "i"), ["key"], ["value"], buckets=4)
+    make = lambda: SnapshotIndex(spark, str(tmp_path / "i"), ["key"], ["value"], buckets=4)
     t = lambda rows: spark.createDataFrame(rows, "key string, value long, old_row string")
-    first = index.advance(t([("a", 1, "x"), ("b", None, "y"), ("b", 2, "y")]))
-    assert {(r["delta"], r["new_row"]["key"]) for r in first.collect()} == {("added", "a"), ("added", "b")}
+    index = make()
+    first = index.advance(t([("a", 1, "x"), ("b", None, "y"), ("b", 2, "y"), (None, 1, "z")]))
+    assert {(r["delta"], r["new_row"]["r_key"]) for r in first.collect()} == {("added", "a"), ("added", "b")}
     second = index.advance(t([("a", 1, "other"), ("b", 3, "y"), ("c", 1, None)]))
-    assert {(r["delta"], r["old_row"] and r["old_row"]["value"], r["new_row"]["value"]) for r in second.collect()} == {("changed", 2, 3), ("added", None, 1)}
-    third = index.advance(t([("a", 1, None)]))
-    assert {(r["delta"], r["old_row"]["key"]) for r in third.collect()} == {("removed", "b"), ("removed", "c")}
-    assert index.version() == 3
+    assert {(r["delta"], r["old_row"] and r["old_row"]["r_value"], r["new_row"]["r_value"]) for r in second.collect()} == {("changed", 2, 3), ("added", None, 1)}
+    for kind in ("index", "rows"):  # a later session knows nothing of the tables
+        spark.sql(f"DROP TABLE {index._place(2, kind)[0]}")
+    third = make().advance(t([("a", 1, None)]))
+    assert {(r["delta"], r["old_row"]["r_key"]) for r in third.collect()} == {("removed", "b"), ("removed", "c")}
+    assert index.version() == 3 and not (tmp_path / "i" / "v=2").exists()
+    assert index.advance(t([]).limit(0)).select("key", "delta").collect() == [("a", "removed")]
+
+
+def test_index_of_streams(spark, tmp_path):
+    index = SnapshotIndex(spark, str(tmp_path / "i"), ["repo", "key"], ["value"], stream="repo", buckets=4, keep_rows=False)
+    t = lambda rows: spark.createDataFrame(rows, "repo long, key string, value long, delta string")
+    index.advance(t([(1, "a", 1, ""), (2, "a", 1, ""), (3, "a", 1, "")]))
+    got = index.advance(t([(1, "a", 2, "")]), spark.createDataFrame([(1,), (3,)], "repo long"))
+    assert {tuple(r) for r in got.collect()} == {(1, "a", "changed"), (3, "a", "removed")}
+
+
+def test_probe_of_the_index_needs_no_shuffle(spark, tmp_path):
+    index = SnapshotIndex(spark, str(tmp_path / "i"), ["key"], ["value"], buckets=4, keep_rows=False)
+    t = lambda n: spark.range(n).select(F.col("id").alias("key"), (F.col("id") % n).alias("value"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        index.advance(t(100))
+        new = index._write(index._read(1, "index"), 2, "index")
+        plan = probe(index._read(1, "index"), new, ["key"], ["h_value"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
 
 
 def test_fan_in(spark):
