@@ -66,12 +66,12 @@ def _grow(links: DataFrame, total: int, level: int, beta: float, hot: int, scrat
     nearer = both.select("v", F.when(other < own, F.col("to")).otherwise(F.col("v")).alias("centre"), F.least(own, other).alias("at"), own.alias("was"))
     reached, moved = scratch.write_counting(_arrive(nearer), "reached", fresh=F.col("fresh"))
     if shards is not None:
-        both = both.join(F.broadcast(shards), "v", "left").withColumn("shard", F.coalesce(F.pmod(F.xxhash64("to"), "shards"), F.lit(0)))
+        both = both.join(F.broadcast(shards), "v", "left").withColumn("shard", F.coalesce(F.pmod(F.xxhash64("to"), "shards"), F.lit(0)).cast("int"))
 
     def pass_on(fresh: DataFrame) -> DataFrame:
         if shards is None:
             return both.join(fresh, "v")
-        copies = fresh.join(F.broadcast(shards), "v", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.coalesce("shards", F.lit(1)) - 1)).cast("long"))
+        copies = fresh.join(F.broadcast(shards), "v", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.coalesce("shards", F.lit(1)) - 1)))
         return both.drop("shards").join(copies.drop("shards"), ["v", "shard"])
 
     while moved["fresh"] > SETTLED * total:

@@ -1,9 +1,9 @@
 """Generated, minified, vendored source files and data saved as code (problem 5).
 
-Models of names are trained on all distinct texts, so that the copies of one file
-count once, in the medians as well: character trigrams of identifiers, per
-language, and naming styles (the word or sign before a name, its casing, its
-length class). A file is flagged if
+Models of names are trained per language on all distinct texts, so that the copies
+of one file count once, in the medians as well: character trigrams of identifiers,
+and naming styles (the word or sign before a name, its casing, its length class),
+each language's own with those of all behind it. A file is flagged if
 
 - its names are mangled: their cross-entropy under the trigram model is far above
   that of the median file (minified and bundled code);
@@ -165,22 +165,30 @@ def _train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"kind": kind, "language": language, "code": codes, "n": counts[language][codes]})
 
 
-def _weights(model: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
-    """Bits of every trigram given its first two characters, per language, and of every style (conventions hold across languages)."""
-    tris = []
-    s = np.zeros(256 * CASES)
+def _weights(model: pd.DataFrame) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Per language, the bits of every trigram given its first two characters, and those of every style."""
+    tris, styles = [], []
     for language in range(len(LANGUAGES)):
         own = model[model["language"] == language]
-        t = np.zeros(SYMBOLS**3)
+        t, s = np.zeros(SYMBOLS**3), np.zeros(256 * CASES)
         t[own.loc[own["kind"] == 0, "code"]] = own.loc[own["kind"] == 0, "n"]
-        s[own.loc[own["kind"] == 1, "code"]] += own.loc[own["kind"] == 1, "n"]
+        s[own.loc[own["kind"] == 1, "code"]] = own.loc[own["kind"] == 1, "n"]
         t = t.reshape(SYMBOLS**2, SYMBOLS)
         tris.append(-np.log2((t + 0.05) / (t.sum(axis=1, keepdims=True) + 0.05 * SYMBOLS)).ravel())
-    return tris, _style_bits(s)
+        styles.append(s)
+    return tris, _style_bits(styles)
 
 
-def _style_bits(counts: np.ndarray) -> np.ndarray:
-    return -np.log2((counts + 0.1) / (counts.sum() + 0.1 * len(counts)))
+def _style_bits(counts: list[np.ndarray]) -> list[np.ndarray]:
+    """Bits of every style per language. Conventions are shared in part: the styles of all languages stand behind each
+    one's own with the weight of as many names, so a language with few files has a model as well."""
+    pooled = sum(counts)
+    pooled = (pooled + 0.1) / (pooled.sum() + 0.1 * len(pooled))
+    out = []
+    for c in counts:
+        weight = max(1.0, float(c.sum()))
+        out.append(-np.log2((c + weight * pooled) / (c.sum() + weight)))
+    return out
 
 
 def source_texts(files: DataFrame) -> DataFrame:
@@ -221,7 +229,7 @@ def name_features(files: DataFrame) -> DataFrame:
             owner = np.repeat(np.repeat(np.arange(n), many), lengths)
             bits = np.bincount(owner, weights=tris[language][tri], minlength=n) / np.maximum(np.bincount(owner, minlength=n), 1)
             file, codes = lexed.styles()
-            style = np.bincount(file, weights=styles[codes], minlength=n) / np.maximum(many, 1)
+            style = np.bincount(file, weights=styles[language][codes], minlength=n) / np.maximum(many, 1)
             held, times = np.unique(file * (256 * CASES) + codes, return_counts=True)
             cuts = np.searchsorted(held, np.arange(1, n) * (256 * CASES))
             distinct = np.array([len(set(o)) for o in lexed.names])
@@ -229,27 +237,30 @@ def name_features(files: DataFrame) -> DataFrame:
             diversity, whole, length_class = lexed.diversity()
             yield pd.DataFrame(
                 {
-                    "text_id": x["text_id"], "mangling": bits, "style": style, "diversity": diversity, "whole": whole, "length": length_class, "chars_per_name": size / np.maximum(distinct, 1),
+                    "text_id": x["text_id"], "language": language, "mangling": bits, "style": style, "diversity": diversity, "whole": whole, "length": length_class, "chars_per_name": size / np.maximum(distinct, 1),
                     "styles": np.split((held % (256 * CASES)).astype(np.int32), cuts), "times": np.split(times.astype(np.int32), cuts),
                 }
             )
 
-    columns = "text_id string, mangling double, style double, diversity double, whole double, length int, chars_per_name double"
+    columns = "text_id string, language int, mangling double, style double, diversity double, whole double, length int, chars_per_name double"
     scored = scratch.write(texts.mapInPandas(score, columns + ", styles array<int>, times array<int>"), "scored")
     scratch.drop(texts)
     usual = scored.crossJoin(F.broadcast(scored.agg(F.percentile_approx("style", 0.5).alias("middle")))).where("style <= middle")  # one row
-    counts = usual.select(F.explode("styles").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    table = np.zeros(256 * CASES)
-    table[counts["code"]] = counts["n"]
-    own = files.sparkSession.sparkContext.broadcast(_style_bits(table))
+    counts = usual.select("language", F.explode("styles").alias("code")).groupBy("language", "code").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    tables = [np.zeros(256 * CASES) for _ in LANGUAGES]
+    for language, table in enumerate(tables):
+        rows = counts[counts["language"] == language]
+        table[rows["code"]] = rows["n"]
+    own = files.sparkSession.sparkContext.broadcast(np.stack(_style_bits(tables)))
 
     def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             sizes = x["styles"].str.len().to_numpy(np.int64)
             file = np.repeat(np.arange(len(x)), sizes)
+            language = x["language"].to_numpy(np.int64)[file]
             codes, times = (np.concatenate([np.zeros(0, np.int64), *x[c]]).astype(np.int64) for c in ("styles", "times"))
-            style = np.bincount(file, weights=own.value[codes] * times, minlength=len(x)) / np.maximum(np.bincount(file, weights=times, minlength=len(x)), 1)
-            yield x.assign(style=style)[["text_id", "mangling", "style", "diversity", "whole", "length", "chars_per_name"]]
+            style = np.bincount(file, weights=own.value[language, codes] * times, minlength=len(x)) / np.maximum(np.bincount(file, weights=times, minlength=len(x)), 1)
+            yield x.assign(style=style)[["text_id", "language", "mangling", "style", "diversity", "whole", "length", "chars_per_name"]]
 
     return scratch.write(scored.mapInPandas(again, columns), "features")
 
