@@ -31,11 +31,11 @@ def is_test(path: Column) -> Column:
 
 
 def entry_kind(name: Column, path: Column) -> Column:
-    """route, cli, handler or exported_entry, by the first rule that holds, on lower-cased name and path."""
+    """route, cli, handler or exported_entry, by the first rule that holds, on lower-cased name and path; ``main`` itself in lower case only."""
     n, p = F.lower(name), F.lower(path)
     return (
         F.when(n.contains("route") | p.contains("route") | p.contains("handler") | n.endswith("handler") | n.endswith("controller"), "route")
-        .when((n == "main") | p.contains("/cli/") | p.contains("/bin/"), "cli")
+        .when((name == "main") | p.contains("/cli/") | p.contains("/bin/"), "cli")
         .when(n.contains("handler"), "handler")
         .otherwise("exported_entry")
     )
@@ -50,3 +50,13 @@ def encode_label(label: Column) -> Column:
 def decode_label(encoded: Column) -> Column:
     """The inverse of encode_label, for every label."""
     return F.url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B")))
+
+
+def unix_seconds(time: Column) -> Column:
+    """Whole seconds since 1970; null for null."""
+    return F.unix_seconds(time.cast("timestamp"))
+
+
+def seen_label(time: Column) -> Column:
+    """The label under which a working directory is kept when it becomes the baseline."""
+    return F.concat(F.lit("seen_"), unix_seconds(time).cast("string"))

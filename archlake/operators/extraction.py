@@ -1,4 +1,4 @@
-"""One scan over source texts gives all facts; Spark attributes calls to functions and branches."""
+"""One scan over source texts gives all facts of a file; Spark takes them apart into rows."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from archlake.functions import extract
@@ -16,12 +16,54 @@ FACTS = (
     "bindings array<struct<local_name:string,imported_name:string,specifier:string>>, "
     "functions array<struct<name:string,start:int,end:int,exported:boolean,is_default:boolean,is_method:boolean,class_name:string,"
     "params:array<struct<name:string,type:string,optional:boolean>>,return_type:string>>, "
-    "calls array<struct<start:int,callee_text:string,callee_root:string,member_path:array<string>,arg_texts:array<string>>>, "
+    "calls array<struct<start:int,callee_text:string,callee_root:string,member_path:array<string>,arg_texts:array<string>,function:int,branch:int>>, "
     "branches array<struct<start:int,end:int>>, "
     "types array<struct<name:string,body:string,is_interface:boolean,exported:boolean>>"
 )
 
 
+def attribute(calls: list[dict], functions: list[dict], branches: list[tuple[int, int]]) -> list[dict]:
+    """``calls`` (by start) with ``function``, the index of the innermost function around the call (the largest start;
+    of equal ones the last), and ``branch``, that of the smallest branch span around the call and inside that function.
+
+    One sweep over the positions: spans are entered at their start and dropped
+    once they are behind; what a call looks through are the branches open in its
+    function.
+    """
+    entered: list[int] = []
+    open_: list[int] = []
+    order = sorted(range(len(branches)), key=lambda i: branches[i][0])
+    f = b = 0
+    out = []
+    for call in calls:
+        at = call["start"]
+        while f < len(functions) and functions[f]["start"] <= at:
+            entered.append(f)
+            f += 1
+        while entered and functions[entered[-1]]["end"] <= at:
+            entered.pop()
+        if b < len(order) and branches[order[b]][0] <= at:
+            open_ = [i for i in open_ if branches[i][1] > at]
+            while b < len(order) and branches[order[b]][0] <= at:
+                if branches[order[b]][1] > at:
+                    open_.append(order[b])
+                b += 1
+        function = branch = None
+        if entered:
+            function = entered[-1]
+            low, high = functions[function]["start"], functions[function]["end"]
+            best = None
+            for i in reversed(open_):
+                start, end = branches[i]
+                if start < low:
+                    break
+                if end > at and end <= high and (best is None or (end - start, i) < best):
+                    best = (end - start, i)
+            branch = best[1] if best else None
+        out.append({**call, "function": function, "branch": branch})
+    return out
+
+
 def _facts(path: str, text: str) -> tuple:
     if not re.search(r"\.(ts|tsx|js|jsx|mjs|cjs)$", path or ""):
         return [], [], [], [], [], []
@@ -29,12 +71,13 @@ def _facts(path: str, text: str) -> tuple:
     functions = extract.functions(x)
     names = {f["name_at"] for f in functions}
     functions = [{k: v for k, v in f.items() if k != "name_at"} | {"params": [dict(zip(("name", "type", "optional"), p)) for p in f["params"]], "class_name": f["class_name"] or None} for f in functions]
+    spans = extract.branches(x)
     return (
         [{"specifier": s, "is_reexport": r} for s, r in extract.imports(x)],
         [dict(zip(("local_name", "imported_name", "specifier"), b)) for b in extract.bindings(x)],
         functions,
-        extract.calls(x, names),
-        [{"start": a, "end": b} for a, b in extract.branches(x)],
+        attribute(extract.calls(x, names), functions, spans),
+        [{"start": a, "end": b} for a, b in spans],
         [dict(zip(("name", "body", "is_interface", "exported"), t)) for t in extract.type_declarations(text)],
     )
 
@@ -69,18 +112,10 @@ def types_of(found: DataFrame) -> DataFrame:
 
 
 def calls_of(found: DataFrame) -> DataFrame:
-    """Calls inside functions: the innermost function (largest start that holds the position) and, if any, the
-    smallest branch span around the call inside that function. call_order counts within the function."""
-    own = F.expr("filter(functions, f -> c.start >= f.start and c.start < f.end)")
-    rows = found.select("part", "path", "functions", "branches", F.posexplode("calls").alias("pos", "c"))
-    # positions lie in one file, so its spans are already beside the call
-    innermost = F.aggregate(own, F.lit(None).cast("struct<start:int,end:int>"), lambda a, f: F.when(a.isNull() | (f["start"] >= a["start"]), F.struct(f["start"].alias("start"), f["end"].alias("end"))).otherwise(a))
-    inside = rows.withColumn("f", innermost).where("f is not null")
-    span = F.expr("filter(transform(branches, (b, i) -> struct(b.end - b.start as size, i as id, b.start as start, b.end as end)), b -> c.start >= b.start and c.start < b.end and b.start >= f.start and b.end <= f.end)")
-    inside = inside.withColumn("branch_id", F.array_min(span)["id"])
-    order = F.expr("transform(functions, g -> g.start)")
-    out = inside.select("part", "path", (F.array_position(order, F.col("f.start")) - 1).cast("int").alias("order"), "pos", "c.*", "branch_id")
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("part", "path", "order").orderBy("start", "pos")
+    """Calls inside functions: part, path, order (of the function), pos, the columns of a call, branch_id (null
+    outside branches), branchy, call_order (within the function, by position)."""
+    rows = found.select("part", "path", F.posexplode("calls").alias("pos", "c")).where("c.function is not null")
+    names = ["start", "callee_text", "callee_root", "member_path", "arg_texts"]
+    out = rows.select("part", "path", F.col("c.function").alias("order"), "pos", *[f"c.{n}" for n in names], F.col("c.branch").alias("branch_id"))
+    w = Window.partitionBy("part", "path", "order").orderBy("start", "pos")  # the calls of one function
     return out.withColumn("call_order", F.row_number().over(w) - 1).withColumn("branchy", F.col("branch_id").isNotNull())

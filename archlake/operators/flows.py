@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from archlake.functions.labels import entry_kind, flow_name, is_test
@@ -16,29 +16,58 @@ from archlake.session import Scratch
 
 #: Bounds of a flow and of the list of flows.
 MAX_DEPTH, MAX_STEPS, MAX_FLOWS, TOP_PER_MODULE = 6, 40, 30, 3
+#: The kinds a declared feature may name.
+KINDS = ("route", "cli", "handler", "public_api")
+
+
+def feature_table(spark: SparkSession, features: list[dict]) -> DataFrame:
+    """place, feature_name, entry (path#function) and given_kind of declared features, in their order (a rules file's section)."""
+    rows = [(i, f.get("name"), f.get("entry"), f.get("kind")) for i, f in enumerate(features)]
+    return spark.createDataFrame(rows, "place int, feature_name string, entry string, given_kind string")
+
+
+def declared_entries(features: DataFrame, functions: DataFrame) -> DataFrame:
+    """part, node, kind (null where the declaration names none of the known kinds), feature_name, place.
+
+    ``features``: as feature_table, with part if they hold for one part only;
+    ``functions``: part, node, name, path. An entry without ``#``, or whose file or
+    function isn't there, is skipped. Of several functions of one name in a file the
+    one with the smallest node counts; a function declared twice keeps its first declaration.
+    """
+    cut = F.instr("entry", "#")
+    wanted = features.where(cut > 0).withColumns({"path": F.expr("substring(entry, 1, instr(entry, '#') - 1)"), "name": F.expr("substring(entry, instr(entry, '#') + 1)")})
+    keys = [c for c in ("part", "path", "name") if c in wanted.columns]
+    met = functions.select("part", "node", "name", "path").join(wanted, keys)
+    first = met.groupBy("part", "place", "feature_name", "given_kind").agg(F.min("node").alias("node"))
+    once = first.groupBy("part", "node").agg(F.min(F.struct("place", "feature_name", "given_kind")).alias("d"))
+    return once.select("part", "node", F.when(F.col("d.given_kind").isin(*KINDS), F.col("d.given_kind")).alias("kind"), "d.feature_name", "d.place")
 
 
 def entry_points(functions: DataFrame, declared: DataFrame | None = None) -> DataFrame:
-    """part, node, name, path, kind, declared, rank: entries of every part, at most MAX_FLOWS.
+    """part, node, name, path, kind, declared, feature_name, rank, flow_name: entries of every part, at most MAX_FLOWS.
 
-    ``functions``: part, node, module, name, path, exported, surface, out_calls.
-    ``declared``: part, node, kind (may be null); they come first. Other entries are
-    exported, call something, and are no tests; of a module the TOP_PER_MODULE with
-    the largest surface count. Ties go by name, then node.
+    ``functions``: part, node, module, name, path, exported, out_calls. ``declared``:
+    as declared_entries; these come first, in their order. Other entries are
+    exported, call something, and are no tests; those of a kind other than
+    exported_entry come before the rest, then those with more resolved calls, and of
+    a module the TOP_PER_MODULE first ones count. Ties go by name, then node.
     """
     auto = functions.where(F.col("exported") & (F.col("out_calls") > 0) & ~is_test(F.col("path")))
     if declared is not None:
         auto = auto.join(declared, ["part", "node"], "left_anti")
-    biggest = [F.col("surface").desc(), F.col("out_calls").desc(), "name", "node"]
-    top = auto.withColumn("r", F.row_number().over(Window.partitionBy("part", "module").orderBy(*biggest))).where(F.col("r") <= TOP_PER_MODULE).drop("r")
-    rows = top.withColumns({"kind": entry_kind(F.col("name"), F.col("path")), "declared": F.lit(False)})
+    kind = entry_kind(F.col("name"), F.col("path"))
+    auto = auto.withColumn("kind", kind)
+    biggest = [(F.col("kind") != "exported_entry").desc(), F.col("out_calls").desc(), "name", "node"]
+    columns = ["part", "node", "name", "path", "kind", "out_calls"]
+    # the functions of one module, then those of one part: no more than TOP_PER_MODULE a module are left
+    top = auto.withColumn("r", F.row_number().over(Window.partitionBy("part", "module").orderBy(*biggest))).where(F.col("r") <= TOP_PER_MODULE)
+    rows = top.select(*columns, F.lit(False).alias("declared"), F.lit(None).cast("string").alias("feature_name"), F.lit(None).cast("int").alias("place"))
     if declared is not None:
-        named = functions.join(declared.select("part", "node", F.col("kind").alias("given")), ["part", "node"])
-        named = named.withColumns({"kind": F.coalesce("given", entry_kind(F.col("name"), F.col("path"))), "declared": F.lit(True)}).drop("given")
-        rows = rows.unionByName(named)
-    rank = F.row_number().over(Window.partitionBy("part").orderBy(F.col("declared").desc(), *biggest))
+        named = functions.join(declared.withColumnRenamed("kind", "given"), ["part", "node"]).withColumn("kind", F.coalesce("given", kind))
+        rows = rows.unionByName(named.select(*columns, F.lit(True).alias("declared"), "feature_name", "place"))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(F.col("declared").desc(), F.col("place").asc_nulls_last(), *biggest))
     first = rows.withColumn("rank", rank).where(F.col("rank") <= MAX_FLOWS)
-    return first.select("part", "node", "name", "path", "kind", "declared", "rank", flow_name(F.col("name")).alias("flow_name"))
+    return first.select("part", "node", "name", "path", "kind", "declared", "feature_name", "rank", flow_name(F.col("name")).alias("flow_name"))
 
 
 def reachable_calls(entries: DataFrame, calls: DataFrame) -> DataFrame:
@@ -179,6 +208,12 @@ def flow_summaries(entries: DataFrame, summaries: DataFrame) -> DataFrame:
     return rows.withColumn("flow_id", F.xxhash64("part", "node"))
 
 
+def find_flow(summaries: DataFrame, steps: DataFrame, flow_id: int) -> tuple[DataFrame, DataFrame]:
+    """The summary of one flow and its steps; both are empty for an unknown id."""
+    one = summaries.where(F.col("flow_id") == flow_id)
+    return one, steps.join(one.select("part", F.col("node").alias("entry")), ["part", "entry"], "left_semi")
+
+
 def branch_groups(steps: DataFrame) -> DataFrame:
     """part, entry, caller, branch: how many steps share a branch, and the first of them."""
     return steps.where("branch is not null").groupBy("part", "entry", "caller", "branch").agg(F.count(F.lit(1)).alias("steps"), F.min("step").alias("first_step"))

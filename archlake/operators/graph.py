@@ -66,6 +66,14 @@ def neighbours(edges: DataFrame, chosen: DataFrame) -> DataFrame:
     return own.unionByName(out).unionByName(into).distinct()
 
 
+def neighbour_modules(edges: DataFrame, chosen: DataFrame, modules: DataFrame) -> DataFrame:
+    """snapshot_id, chosen_id, direction (out: depends on, in: is depended on by), id, path: the module rows beside each chosen module."""
+    own = chosen.select("snapshot_id", F.col("id").alias("chosen_id"))
+    out = edges.withColumnRenamed("from_id", "chosen_id").join(own, ["snapshot_id", "chosen_id"], "left_semi").select("snapshot_id", "chosen_id", F.lit("out").alias("direction"), F.col("to_id").alias("id"))
+    into = edges.withColumnRenamed("to_id", "chosen_id").join(own, ["snapshot_id", "chosen_id"], "left_semi").select("snapshot_id", "chosen_id", F.lit("in").alias("direction"), F.col("from_id").alias("id"))
+    return out.unionByName(into).distinct().join(modules.select("snapshot_id", "id", "path"), KEY)
+
+
 def visible_edges(edges: DataFrame, visible: DataFrame) -> DataFrame:
     """Edges both of whose ends are visible."""
     return edges.join(visible.select("snapshot_id", F.col("id").alias("from_id")), ["snapshot_id", "from_id"], "left_semi").join(

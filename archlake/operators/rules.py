@@ -10,7 +10,7 @@ import re
 import tomllib
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -139,6 +139,7 @@ def violations(modules: DataFrame, edges: DataFrame, rules: Rules) -> DataFrame:
     layers nothing is checked. Canonical: where more than one module of a snapshot
     matches the concept, all but the declared path are flagged.
     """
+    # Names, severities and texts of the three rules.
     pairs = with_paths(edges, modules)
     f, t = F.col("from_path"), F.col("to_path")
     found = []
@@ -179,6 +180,13 @@ def scorecard(found: DataFrame) -> DataFrame:
     ).withColumn("passes", F.col("errors") == 0)
 
 
+def ordered_violations(found: DataFrame) -> DataFrame:
+    """``found`` with ``place`` (from 1) in its snapshot: errors before warnings, rules in their order, then by path."""
+    severe = (F.col("severity") != "Error").cast("int")
+    order = Window.partitionBy("snapshot_id").orderBy(severe, "rule_order", "from_path", "to_path", "rule")
+    return found.withColumn("place", F.row_number().over(order))
+
+
 def infer_boundaries(modules: DataFrame) -> DataFrame:
     """snapshot_id, boundary, glob, files: one boundary per top path segment, and its rule line."""
     top = F.split("path", "/")[0]

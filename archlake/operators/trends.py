@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,6 +31,27 @@ def trend_points(snapshots: DataFrame, metrics: DataFrame, edges: DataFrame, vio
     return out.join(v, "snapshot_id", "left").fillna(0, ["violation_count"])
 
 
+def baseline_positions(points: DataFrame, baselines: DataFrame) -> DataFrame:
+    """repo, position: where (from 0, by saved_at, then snapshot_id) the baseline's label stands first among a repository's
+    points; -1 for a repository without a baseline or without that label.
+
+    ``points``: repo, snapshot_id, saved_at, label; ``baselines``: repo, label.
+    """
+    order = Window.partitionBy("repo").orderBy(F.col("saved_at").asc_nulls_first(), "snapshot_id")  # one repository's deliveries
+    placed = points.withColumn("position", F.row_number().over(order) - 1)
+    met = placed.join(baselines.select("repo", F.col("label").alias("wanted")), "repo", "left")
+    return met.groupBy("repo").agg(F.coalesce(F.min(F.when(F.col("label") == F.col("wanted"), F.col("position"))), F.lit(-1)).alias("position"))
+
+
+def default_from(points: DataFrame, baselines: DataFrame, requested: DataFrame | None = None) -> DataFrame:
+    """repo, label a comparison starts from: the one requested, else the baseline's, else the oldest one's, else empty."""
+    oldest = points.groupBy("repo").agg(F.min(F.struct(F.col("saved_at").isNotNull().alias("known"), "saved_at", "snapshot_id", "label"))["label"].alias("oldest"))
+    rows = oldest.join(baselines.select("repo", F.col("label").alias("baseline")), "repo", "left")
+    if requested is None:
+        return rows.select("repo", F.coalesce("baseline", "oldest", F.lit("")).alias("label"))
+    return rows.join(requested.select("repo", F.col("label").alias("asked")), "repo", "left").select("repo", F.coalesce("asked", "baseline", "oldest", F.lit("")).alias("label"))
+
+
 def with_workdir(points: DataFrame, workdir: DataFrame) -> DataFrame:
     """The stored points and the working directory's, unless a stored one is labelled workdir."""
     stored = points.where("label = 'workdir'").select(F.lit(1).alias("x")).limit(1)

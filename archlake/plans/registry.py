@@ -178,6 +178,12 @@ def _(m):
     return rules.scorecard(m.violations())
 
 
+@query("ordered_violations", f"""WITH {_BASE}, {_VIOLATIONS}
+SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY severity <> 'Error', rule_order, from_path, to_path, rule) AS place FROM vi""")
+def _(m):
+    return rules.ordered_violations(m.violations())
+
+
 @query("violations_of_module", f"""WITH {_BASE}, {_VIOLATIONS}
 SELECT snapshot_id, path, count(*) AS touching FROM (
   SELECT snapshot_id, from_path AS path FROM vi UNION ALL SELECT snapshot_id, to_path FROM vi WHERE to_path <> from_path) GROUP BY ALL""")
@@ -268,6 +274,36 @@ def _(m):
     return s.select("repo", "snapshot_id", "step", F.coalesce("previous_id", F.lit(-1)).alias("previous_id"), "label", trends.short_label(F.col("label")).alias("short_label"), trends.display_root(F.col("repo")).alias("display_root"))
 
 
+_POINTS = f"""{STEPS}, pt AS (SELECT s.repo, s.snapshot_id, h.saved_at, l.label, s.step FROM steps s JOIN heads h ON h.snapshot_id = s.snapshot_id
+  JOIN (SELECT snapshot_id, max(snapshot_label) AS label FROM snapshots GROUP BY 1) l ON l.snapshot_id = s.snapshot_id),
+bl AS (SELECT repo, max(label) AS label FROM pt WHERE label IS NOT NULL AND step > 1 GROUP BY 1)"""
+
+
+def _points(m):
+    """The deliveries of every repository with their labels, and as its baseline the last label, by text, after the first delivery."""
+    labels = m.t("snapshots").groupBy("snapshot_id").agg(F.max("snapshot_label").alias("label"), F.min("saved_at").alias("saved_at"))
+    points = deliveries(m.t("snapshots")).join(labels, "snapshot_id").select("repo", "snapshot_id", "saved_at", "label", "step")
+    return points, points.where("label is not null and step > 1").groupBy("repo").agg(F.max("label").alias("label"))
+
+
+@query("baseline_positions", f"WITH {_POINTS} SELECT pt.repo, coalesce(min(step - 1) FILTER (WHERE pt.label = bl.label), -1) AS position FROM pt LEFT JOIN bl ON bl.repo = pt.repo GROUP BY ALL")
+def _(m):
+    return trends.baseline_positions(*_points(m))
+
+
+@query("default_from", f"""WITH {_POINTS} SELECT p.repo, coalesce(bl.label, p.label, '') AS label FROM pt p LEFT JOIN bl ON bl.repo = p.repo WHERE p.step = 1""")
+def _(m):
+    return trends.default_from(*_points(m))
+
+
+@query("seen_labels", "SELECT snapshot_id, floor(epoch(min(saved_at)))::BIGINT AS saved_unix, 'seen_' || floor(epoch(min(saved_at)))::BIGINT AS label FROM snapshots WHERE snapshot_id IS NOT NULL GROUP BY 1")
+def _(m):
+    from archlake.functions.labels import seen_label, unix_seconds
+
+    saved = m.t("snapshots").where("snapshot_id is not null").groupBy("snapshot_id").agg(F.min("saved_at").alias("saved_at"))
+    return saved.select("snapshot_id", unix_seconds(F.col("saved_at")).alias("saved_unix"), seen_label(F.col("saved_at")).alias("label"))
+
+
 @query("hub_thresholds", f"""WITH {_BASE}, {_METRICS}
 SELECT snapshot_id, greatest(2, list_sort(list(fan_in))[floor(0.9 * count(*))::INT + 1]) AS hub_at FROM met GROUP BY 1""")
 def _(m):
@@ -332,6 +368,13 @@ def _(m):  # the query set is every module whose id is divisible by 20, against
     return graph.neighbours(m.edges, m.modules.where("id % 20 = 0").select("snapshot_id", "id"))
 
 
+@query("neighbour_modules", f"""WITH {_BASE}, ch AS (SELECT snapshot_id, id FROM mods WHERE id % 20 = 0)
+SELECT n.*, m.path FROM (SELECT DISTINCT ce.snapshot_id, ch.id AS chosen_id, 'out' AS direction, ce.to_id AS id FROM ce JOIN ch ON ch.snapshot_id = ce.snapshot_id AND ch.id = ce.from_id UNION ALL
+SELECT DISTINCT ce.snapshot_id, ch.id, 'in', ce.from_id FROM ce JOIN ch ON ch.snapshot_id = ce.snapshot_id AND ch.id = ce.to_id) n JOIN mods m ON m.snapshot_id = n.snapshot_id AND m.id = n.id""")
+def _(m):  # the same query set
+    return graph.neighbour_modules(m.edges, m.modules.where("id % 20 = 0").select("snapshot_id", "id"), m.modules)
+
+
 @query("visible_edges", f"""WITH {_BASE} SELECT ce.* FROM ce JOIN mods f ON f.snapshot_id = ce.snapshot_id AND f.id = ce.from_id AND contains(lower(f.path), 'src')
 JOIN mods t ON t.snapshot_id = ce.snapshot_id AND t.id = ce.to_id AND contains(lower(t.path), 'src')""")
 def _(m):
@@ -417,22 +460,22 @@ def _(m):
     return m.modules.select("snapshot_id", "id", name.alias("name"), camel_words(name).alias("words"))
 
 
-_ENTRY = rf"""fn AS (SELECT m.snapshot_id AS part, m.id AS node, {_STEM.replace('path', 'm.path')} AS name, m.path, len(m.exports) AS surface, met.fan_out AS out_calls
+_ENTRY = rf"""fn AS (SELECT m.snapshot_id AS part, m.id AS node, {_STEM.replace('path', 'm.path')} AS name, m.path, len(m.exports) AS exported, met.fan_out AS out_calls
   FROM mods m JOIN met ON met.snapshot_id = m.snapshot_id AND met.id = m.id),
-en AS (SELECT *, CASE WHEN lower(name) LIKE '%route%' OR lower(path) LIKE '%route%' OR lower(path) LIKE '%handler%' OR lower(name) LIKE '%handler' OR lower(name) LIKE '%controller' THEN 'route'
-    WHEN lower(name) = 'main' OR lower(path) LIKE '%/cli/%' OR lower(path) LIKE '%/bin/%' THEN 'cli' WHEN lower(name) LIKE '%handler%' THEN 'handler' ELSE 'exported_entry' END AS kind,
-    row_number() OVER (PARTITION BY part ORDER BY surface DESC, out_calls DESC, name, node) AS rank FROM fn
-  WHERE surface > 0 AND out_calls > 0 AND NOT contains(path, 'test') AND NOT contains(path, 'spec') AND NOT path LIKE '%.d.ts')"""
+kn AS (SELECT *, CASE WHEN lower(name) LIKE '%route%' OR lower(path) LIKE '%route%' OR lower(path) LIKE '%handler%' OR lower(name) LIKE '%handler' OR lower(name) LIKE '%controller' THEN 'route'
+    WHEN name = 'main' OR lower(path) LIKE '%/cli/%' OR lower(path) LIKE '%/bin/%' THEN 'cli' WHEN lower(name) LIKE '%handler%' THEN 'handler' ELSE 'exported_entry' END AS kind FROM fn
+  WHERE exported > 0 AND out_calls > 0 AND NOT contains(path, 'test') AND NOT contains(path, 'spec') AND NOT path LIKE '%.d.ts'),
+en AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY kind <> 'exported_entry' DESC, out_calls DESC, name, node) AS rank FROM kn)"""
 
 
 def _module_functions(m):
-    """Modules read as functions: their exports are the surface, their edges the calls."""
+    """Modules read as functions: those with exports are exported, their edges are the calls."""
     from archlake.functions.paths import basename
 
     modules = current_modules(m.t("modules"), "exports")
     rows = m.metrics().join(modules.select("snapshot_id", "id", F.size(F.array_distinct(F.coalesce("exports", F.array().cast("array<string>")))).alias("surface")), ["snapshot_id", "id"])
     name = F.split(basename(F.col("path")), r"\.")[0]
-    return rows.select(F.col("snapshot_id").alias("part"), F.col("id").alias("node"), F.col("id").alias("module"), name.alias("name"), "path", (F.col("surface") > 0).alias("exported"), "surface", F.col("fan_out").alias("out_calls"))
+    return rows.select(F.col("snapshot_id").alias("part"), F.col("id").alias("node"), F.col("id").alias("module"), name.alias("name"), "path", (F.col("surface") > 0).alias("exported"), F.col("fan_out").alias("out_calls"))
 
 
 @query("entry_points", rf"WITH {_BASE}, {_METRICS}, {_ENTRY} SELECT part, node, path, kind, rank FROM en WHERE rank <= 30")
@@ -553,10 +596,23 @@ def _(m):
     return _call_graph(m).report()
 
 
+def _features(functions):
+    """Declared features of the queries: of every report the first function by path and name, as path#function."""
+    first = functions.where("name not like '%#%'").groupBy("part").agg(F.min(F.struct("path", "name")).alias("f"))
+    return first.select("part", F.lit(0).alias("place"), F.concat(F.lit("feature of "), F.col("f.path")).alias("feature_name"), F.concat("f.path", F.lit("#"), F.col("f.name")).alias("entry"), F.lit("public_api").alias("given_kind"))
+
+
+@query("parameter_arguments")
+def _(m):
+    from archlake.operators.shapes import paired_arguments
+
+    g = _call_graph(m)
+    return paired_arguments(g.calls, g.functions)
+
+
 def _function_flows(m):
     """Walks over the functions of the texts and their resolved calls, flagged with type contracts; ``part`` is the report."""
-    from archlake.operators.extraction import types_of
-    from archlake.operators.flows import entry_points, flow_steps, step_flags
+    from archlake.operators.flows import declared_entries, entry_points, flow_steps, step_flags
     from archlake.operators.shapes import contracts
     from archlake.session import Scratch
 
@@ -567,18 +623,25 @@ def _function_flows(m):
         "part", node().alias("caller"), node("target_module", "target_order").alias("callee"), "call_order", F.col("branch_id").cast("int").alias("branch")
     ), "calls")
     out = resolved.groupBy("part", F.col("caller").alias("node")).agg(F.count(F.lit(1)).alias("out_calls"))
-    functions = g.functions.select(*keys, node().alias("node"), "name", "exported", F.size("params").alias("surface")).join(out, ["part", "node"], "left").fillna(0, ["out_calls"])
+    functions = g.functions.select(*keys, node().alias("node"), "name", "exported").join(out, ["part", "node"], "left").fillna(0, ["out_calls"])
     functions = scratch.write(functions.withColumn("module", F.col("path")), "functions")
-    entries = scratch.write(entry_points(functions), "entries")
+    # every report declares its first function as a feature
+    declared = declared_entries(_features(functions), functions)
+    entries = scratch.write(entry_points(functions, declared), "entries")
     steps = scratch.write(flow_steps(entries, resolved), "steps")
     reports = m.t("dupe_reports").select("report_id", "snapshot_id").distinct()
     of = lambda t: t.join(reports, "snapshot_id").withColumnRenamed("report_id", "part")
     metrics = of(m.metrics().join(m.components(), ["snapshot_id", "id"])).select("part", "path", "scc_id", "scc_size", "instability")
     nodes = functions.select("part", "path", "node").join(metrics, ["part", "path"], "left")
-    types = contracts(g.functions, types_of(g.facts), g.bindings).select("part", node().alias("node"), "slot", "name", "untyped", "missing")
+    types = contracts(g.facts, g.bindings).select("part", node().alias("node"), "slot", "name", "untyped", "missing")
     return entries, steps, step_flags(steps, nodes, of(m.violations()).select("part", "from_path", "to_path"), of(m.changed()).select("part", "path").distinct(), types)
 
 
+@query("function_entry_points")
+def _(m):
+    return _function_flows(m)[0].drop("node")
+
+
 @query("function_flow_steps")
 def _(m):
     return _function_flows(m)[1]
@@ -606,11 +669,10 @@ def _(m):
 
 @query("type_contracts")
 def _(m):
-    from archlake.operators.extraction import types_of
     from archlake.operators.shapes import contracts
 
     g = _call_graph(m)
-    return contracts(g.functions, types_of(g.facts), g.bindings).withColumn("shape", F.to_json("shape"))
+    return contracts(g.facts, g.bindings).withColumn("shape", F.to_json("shape"))
 
 
 @query("resolved_specifiers")

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from archlake.functions import extract, labels
 from archlake.functions.paths import canonical_path
 from archlake.functions.shapes import Shapes, render
 from archlake.functions.source_text import NUM, REGEX, STR, batch_shingles, tokens
-from archlake.operators import calls, dupes, extraction, shapes
+from archlake.operators import calls, dupes, extraction, flows, shapes, trends
 from archlake.operators.flows import fragility_summary, step_flags
 from archlake.sources.files import line_count, scan_repository
 from archlake.sources.snapshots import SnapshotStore
@@ -195,11 +196,82 @@ def test_call_graph(spark):
         ("src/main.ts", "local"): ("resolved", "src/main.ts"), ("src/main.ts", "nowhere"): ("unresolved_local", None), ("src/main.ts", "this.z"): ("method", None),
         ("src/main.ts", "a.b"): ("method", None), ("src/deep.ts", "inner"): ("resolved", "src/deep.ts"),
     }
-    c = {(r["path"], r["order"], r["slot"]): (r["text"], r["untyped"], r["missing"]) for r in shapes.contracts(g.functions, extraction.types_of(g.facts), g.bindings).collect()}
+    c = {(r["path"], r["order"], r["slot"]): (r["text"], r["untyped"], r["missing"]) for r in shapes.contracts(g.facts, g.bindings).collect()}
     assert c["src/main.ts", 0, 0] == ("any", True, False) and c["src/main.ts", 0, 1] == ("unknown", False, True) and c["src/main.ts", 1, -1] == ("{ n: number }", False, False)
     assert g.report().first()["functions"] == 5
 
 
+def test_calls_are_attributed_by_one_sweep():
+    """Equal to looking through all spans for every call, also where spans overlap; a file with very many calls takes seconds."""
+    rng = random.Random(7)
+    for _ in range(200):
+        span = lambda: (a := rng.randrange(60), a + 1 + rng.randrange(30))
+        functions = [{"start": a, "end": b} for a, b in sorted(span() for _ in range(rng.randrange(6)))]
+        branches = [span() for _ in range(rng.randrange(8))]
+        found = [{"start": p} for p in sorted(rng.randrange(80) for _ in range(20))]
+        for c in extraction.attribute(found, functions, branches):
+            own = max(((f["start"], i) for i, f in enumerate(functions) if f["start"] <= c["start"] < f["end"]), default=None)
+            assert c["function"] == (own and own[1])
+            f = functions[own[1]] if own else None
+            inside = [(b - a, i) for i, (a, b) in enumerate(branches) if f and a <= c["start"] < b and a >= f["start"] and b <= f["end"]]
+            assert c["branch"] == (min(inside)[1] if inside else None)
+    many = [{"start": 10 * i} for i in range(20_000)]
+    began = time.perf_counter()
+    out = extraction.attribute(many, [{"start": 100 * i, "end": 100 * i + 90} for i in range(2000)], [(40 * i, 40 * i + 20) for i in range(5000)])
+    assert time.perf_counter() - began < 3 and sum(c["function"] is not None for c in out) == 18_000
+
+
+def test_one_file_with_many_calls(spark):
+    text = "\n".join(f"function f{i}(a: number, b) {{ " + " ".join(f"f{(i + k) % 400}({k}, x); if (a) {{ g{k}(); }}" for k in range(25)) + " }" for i in range(400))
+    df = spark.createDataFrame([(1, "src/big.ts", text)], "part long, path string, content string")
+    g = calls.CallGraph(df, df.select("part", "path"))
+    assert g.calls.count() == 20_000 and g.calls.where("branchy").count() == 10_000 and g.calls.where("resolution = 'resolved'").count() == 10_000
+    assert shapes.contracts(g.facts, g.bindings).count() == 1200
+
+
+def test_parameters_beside_arguments(spark):
+    files = [(1, "a.ts", "export function go() { take(1, [2, 3]); take(); none(9); }\nfunction take(p: number, q?: any) { }\nfunction none() { }"), (1, "b.ts", "take(1)")]
+    df = spark.createDataFrame(files, "part long, path string, content string")
+    g = calls.CallGraph(df, df.select("part", "path"))
+    rows = shapes.paired_arguments(g.calls, g.functions).orderBy("call_order", "slot").collect()
+    assert [(r["call_order"], r["name"], r["optional"], r["argument"]) for r in rows] == [(0, "p", False, "1"), (0, "q", True, "[2, 3]"), (1, "p", False, None), (1, "q", True, None)]
+
+
+def test_entries_and_declared_features(spark):
+    f = [
+        (1, 1, "m", "apiRoute", "src/m.ts", True, 1), (1, 2, "m", "plain", "src/m.ts", True, 9), (1, 3, "m", "other", "src/m.ts", True, 8), (1, 4, "m", "third", "src/m.ts", True, 7),
+        (1, 5, "n", "Main", "src/n.ts", True, 1), (1, 6, "n", "main", "src/n.ts", True, 1), (1, 7, "n", "quiet", "src/n.ts", True, 0), (1, 8, "t", "x", "src/a.test.ts", True, 3), (1, 9, "n", "own", "src/n.ts", False, 3), (1, 10, "n", "own", "src/n.ts", False, 0),
+    ]
+    functions = spark.createDataFrame(f, "part long, node long, module string, name string, path string, exported boolean, out_calls long")
+    declared = [{"name": "second", "entry": "src/n.ts#own", "kind": "nonsense"}, {"name": "none", "entry": "src/n.ts#gone"}, {"name": "bad", "entry": "src/n.ts"}, {"name": "public", "entry": "src/m.ts#plain", "kind": "public_api"}, {"name": "again", "entry": "src/m.ts#plain", "kind": "cli"}, {}]
+    d = flows.declared_entries(flows.feature_table(spark, declared), functions)
+    got = [(r["node"], r["kind"], r["declared"], r["feature_name"]) for r in flows.entry_points(functions, d).orderBy("rank").collect()]
+    assert got == [
+        (9, "exported_entry", True, "second"), (2, "public_api", True, "public"), (1, "route", False, None), (6, "cli", False, None),
+        (3, "exported_entry", False, None), (4, "exported_entry", False, None), (5, "exported_entry", False, None),
+    ]
+    alone = [r["node"] for r in flows.entry_points(functions).orderBy("rank").collect()]
+    assert alone == [1, 6, 2, 3, 5]  # three of a module
+    assert flows.entry_points(functions.limit(0), d.limit(0)).count() == 0
+
+
+def test_flow_by_id(spark):
+    s = spark.createDataFrame([(1, 7, 70), (1, 8, 80)], "part long, node long, flow_id long")
+    steps = spark.createDataFrame([(1, 7, 0), (1, 8, 0), (1, 8, 1)], "part long, entry long, step long")
+    one, own = flows.find_flow(s, steps, 80)
+    assert [r["node"] for r in one.collect()] == [8] and own.count() == 2 and flows.find_flow(s, steps, 1)[0].count() == 0
+
+
+def test_baselines(spark):
+    p = spark.createDataFrame([("a", 3, 1, "x"), ("a", 4, 2, "y"), ("a", 5, 3, "y"), ("b", 6, 1, None), ("c", 7, None, "z"), ("c", 8, 1, "w")], "repo string, snapshot_id long, saved_at long, label string")
+    b = spark.createDataFrame([("a", "y"), ("c", "gone")], "repo string, label string")
+    assert {tuple(r) for r in trends.baseline_positions(p, b).collect()} == {("a", 1), ("b", -1), ("c", -1)}
+    assert {tuple(r) for r in trends.default_from(p, b).collect()} == {("a", "y"), ("b", ""), ("c", "gone")}
+    asked = spark.createDataFrame([("a", "x")], "repo string, label string")
+    assert {tuple(r) for r in trends.default_from(p, b.limit(0), asked).collect()} == {("a", "x"), ("b", ""), ("c", "z")}
+    assert trends.baseline_positions(p.limit(0), b).count() == trends.default_from(p.limit(0), b).count() == 0
+
+
 def test_fragility(spark):
     steps = spark.createDataFrame([(1, 0, 0, 0, 1), (1, 0, 1, 1, 2)], "part long, entry long, step int, caller long, callee long")
     nodes = spark.createDataFrame([(1, 0, "a", 0, 2, 0.1), (1, 1, "b", 0, 2, 0.765), (1, 2, "c", 2, 1, None)], "part long, node long, path string, scc_id long, scc_size long, instability double")
