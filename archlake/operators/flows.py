@@ -80,7 +80,7 @@ def reachable_calls(entries: DataFrame, calls: DataFrame) -> DataFrame:
     ``calls``: part, caller, callee, call_order (and branch). Expanded by one join a hop.
     """
     scratch = Scratch(calls.sparkSession, "flows")
-    order = Window.partitionBy("part", "caller").orderBy("call_order", "callee")
+    order = Window.partitionBy("part", "caller").orderBy("call_order", "callee", "branch")
     near = calls.select("part", "caller", "callee", "branch", (F.row_number().over(order) - 1).alias("pos")).where(F.col("pos") <= MAX_STEPS)
     near = scratch.write(near, "calls")
     reached = entries.select("part", F.col("node").alias("entry"), F.col("node").alias("caller"), F.lit(0).alias("cost"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from archlake.operators import graph, rollup, rules, signals, trends
 from archlake.operators.snapshot_delta import history_delta, module_changes
 from archlake.plans.sql import CANON, MODULES, STEPS
+from archlake.plans.text_sql import CLASSES, CLUSTERS, candidates, folded
 from archlake.sources.tables import current_modules, deliveries, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -509,39 +510,80 @@ def _flagged(m):
     return entries, step_flags(steps, nodes, bad, new)
 
 
-@query("flow_steps")
+# the walk as a stack machine: one move (show or leave a call) of every flow per round
+_WALK = f"""{_ENTRY},
+ca AS (SELECT snapshot_id AS part, from_id AS caller, to_id AS callee, CASE WHEN kind = 'reexports' THEN 1 END AS branch,
+    row_number() OVER (PARTITION BY snapshot_id, from_id ORDER BY to_id, CASE WHEN kind = 'reexports' THEN 1 END NULLS FIRST) - 1 AS pos FROM ce),
+mv AS (
+  SELECT part, node AS entry, [{{'c': node, 'p': 0::BIGINT, 'd': 0, 's': NULL::INT}}] AS stack, [node] AS seen, 0 AS n, false AS cut, NULL::INT AS step, NULL::INT AS parent, NULL::BIGINT AS caller, NULL::BIGINT AS callee,
+    NULL::INT AS depth, NULL::BOOLEAN AS recursion, NULL::INT AS branch FROM en WHERE rank <= 30
+  UNION ALL
+  SELECT part, entry,
+    CASE WHEN NOT more THEN stack[1:len(stack) - 1] WHEN NOT shown THEN []
+      ELSE stack[1:len(stack) - 1] || [{{'c': top.c, 'p': top.p + 1, 'd': top.d, 's': top.s}}] || CASE WHEN enter THEN [{{'c': callee, 'p': 0::BIGINT, 'd': top.d + 1, 's': n}}] ELSE [] END END,
+    CASE WHEN enter THEN list_append(seen, callee) ELSE seen END, CASE WHEN shown THEN n + 1 ELSE n END, more AND NOT shown,
+    CASE WHEN shown THEN n END, CASE WHEN shown THEN top.s END, CASE WHEN shown THEN top.c END, CASE WHEN shown THEN callee END, CASE WHEN shown THEN top.d END, CASE WHEN shown THEN again END, CASE WHEN shown THEN branch END
+  FROM (SELECT *, shown AND NOT again AND top.d + 1 < 6 AS enter FROM (
+    SELECT x.part, x.entry, x.stack, x.seen, x.n, x.top, k.callee, k.branch, k.callee IS NOT NULL AS more, k.callee IS NOT NULL AND x.n < 40 AS shown, coalesce(list_contains(x.seen, k.callee), false) AS again
+    FROM (SELECT part, entry, stack, seen, n, stack[len(stack)] AS top FROM mv WHERE len(stack) > 0) x LEFT JOIN ca k ON k.part = x.part AND k.caller = x.top.c AND k.pos = x.top.p))),
+fs AS (SELECT part, entry, step, parent, caller, callee, depth, recursion, branch, truncated FROM (SELECT *, bool_or(cut) OVER (PARTITION BY part, entry) AS truncated FROM mv) WHERE step IS NOT NULL)"""
+_WALKS = f"WITH RECURSIVE {_BASE}, {_METRICS}, {_WALK}"
+_FLAGS = f"""{_SCC}, {_VIOLATIONS}, {STEPS}, bd AS (SELECT DISTINCT snapshot_id, from_path, to_path FROM vi),
+nm AS (SELECT p.snapshot_id, m.path FROM steps p JOIN mods m ON m.snapshot_id = p.snapshot_id WHERE p.previous_id IS NOT NULL),
+om AS (SELECT p.snapshot_id, m.path FROM steps p JOIN mods m ON m.snapshot_id = p.previous_id),
+ch AS ((SELECT * FROM nm EXCEPT SELECT * FROM om) UNION (SELECT * FROM om EXCEPT SELECT * FROM nm)),
+nd AS (SELECT met.snapshot_id, met.id, met.path, met.instability, scc_id, scc_size FROM met JOIN scc ON scc.snapshot_id = met.snapshot_id AND scc.id = met.id),
+fx AS (SELECT fs.*, f.scc_id AS fc, t.scc_id AS tc, f.scc_size AS fz, t.instability AS ti, bd.from_path IS NOT NULL AS bad, cf.path IS NOT NULL AS new_f, ct.path IS NOT NULL AS new_t
+  FROM fs JOIN nd f ON f.snapshot_id = part AND f.id = caller JOIN nd t ON t.snapshot_id = part AND t.id = callee
+  LEFT JOIN bd ON bd.snapshot_id = part AND bd.from_path = f.path AND bd.to_path = t.path LEFT JOIN ch cf ON cf.snapshot_id = part AND cf.path = f.path LEFT JOIN ch ct ON ct.snapshot_id = part AND ct.path = t.path),
+fl AS (SELECT part, entry, step, 'metric' AS source, 'scc_cycle' AS code, 'Error' AS severity, 'This call crosses a circular dependency — both modules are in the same import cycle.' AS message FROM fx WHERE fc = tc AND fz > 1
+  UNION ALL SELECT part, entry, step, 'metric', 'high_instability', 'Warning', 'Target module instability is ' || round_even(ti * 100, 0)::INT || '% — highly unstable modules change often.' FROM fx WHERE ti > 0.75
+  UNION ALL SELECT part, entry, step, 'metric', 'violation', 'Error', 'This call crosses a boundary declared forbidden in the rules file.' FROM fx WHERE bad
+  UNION ALL SELECT part, entry, step, 'churn', 'churn_caller', 'Warning', 'The calling module has changed since the baseline snapshot.' FROM fx WHERE new_f
+  UNION ALL SELECT part, entry, step, 'churn', 'churn_callee', 'Warning', 'The called module has changed since the baseline snapshot.' FROM fx WHERE new_t),
+ss AS (SELECT fs.part, fs.entry, fs.step, count(*) FILTER (WHERE severity = 'Error') AS errors, count(*) FILTER (WHERE severity = 'Warning') AS warnings,
+    count(*) FILTER (WHERE source = 'metric') AS mf, count(*) FILTER (WHERE source = 'churn') AS cf
+  FROM fs LEFT JOIN fl ON fl.part = fs.part AND fl.entry = fs.entry AND fl.step = fs.step GROUP BY ALL)"""
+
+
+@query("flow_steps", f"{_WALKS} SELECT * FROM fs")
 def _(m):
     return _flows(m)[1]
 
 
-@query("flow_branch_groups")
+@query("flow_branch_groups", f"{_WALKS} SELECT part, entry, caller, branch, count(*) AS steps, min(step) AS first_step FROM fs WHERE branch IS NOT NULL GROUP BY ALL")
 def _(m):
     from archlake.operators.flows import branch_groups
 
     return branch_groups(_flows(m)[1])
 
 
-@query("flow_tree_edges")
+@query("flow_tree_edges", f"{_WALKS} SELECT part, entry, parent AS from_step, step AS to_step FROM fs WHERE parent IS NOT NULL AND NOT recursion")
 def _(m):
     from archlake.operators.flows import tree_edges
 
     return tree_edges(_flows(m)[1])
 
 
-@query("fragility_flags")
+@query("fragility_flags", f"{_WALKS}, {_FLAGS} SELECT * FROM fl")
 def _(m):
     return _flagged(m)[1].select("part", "entry", "step", F.explode("flags").alias("f")).select("part", "entry", "step", "f.*")
 
 
-@query("fragility_summary")
+@query("fragility_summary", rf"""{_WALKS}, {_FLAGS},
+sm AS (SELECT part, entry, count(*) AS steps, count(*) FILTER (WHERE errors + warnings > 0) AS fragile_steps, sum(mf)::BIGINT AS metric_flags, sum(cf)::BIGINT AS churn_flags, max(errors) AS e, max(warnings) AS w FROM ss GROUP BY ALL)
+SELECT en.part, en.node, en.name, en.path, en.kind, false AS declared, en.rank, upper(substr(x, 1, 1)) || substr(x, 2) AS flow_name, coalesce(steps, 0) AS steps, coalesce(fragile_steps, 0) AS fragile_steps,
+  coalesce(metric_flags, 0) AS metric_flags, 0 AS type_flags, coalesce(churn_flags, 0) AS churn_flags, CASE WHEN e > 0 THEN 'Error' WHEN w > 0 THEN 'Warning' END AS max_severity,
+  CASE WHEN steps > 0 THEN round(fragile_steps * 100 / steps)::INT ELSE 0 END AS fragile_percent
+FROM (SELECT *, lower(regexp_replace(translate(name, '_-', '  '), '([^A-Z])([A-Z])', '\1 \2', 'g')) AS x FROM en WHERE rank <= 30) en LEFT JOIN sm ON sm.part = en.part AND sm.entry = en.node""")
 def _(m):
     from archlake.operators.flows import flow_summaries, fragility_summary
 
-    entries, flagged = _flagged(m)
-    return flow_summaries(entries, fragility_summary(flagged))
+    entries, flagged = _flagged(m)  # ids of flows are hashes that SQL can't tell; features are declared for functions only
+    return flow_summaries(entries, fragility_summary(flagged)).drop("flow_id", "feature_name")
 
 
-@query("flow_step_severities")
+@query("flow_step_severities", f"{_WALKS}, {_FLAGS} SELECT part, entry, step, errors, warnings FROM ss")
 def _(m):
     from archlake.operators.flows import step_severities
 
@@ -564,7 +606,19 @@ def _call_graph(m):
     return CallGraph(_files(m).dropDuplicates(["part", "path"]), modules)
 
 
-@query("import_targets")
+# texts without other forms of imports: named imports at the start of a line
+_FROM = "CASE WHEN specifier LIKE '/%' THEN specifier ELSE regexp_replace(path, '[^/]*$', '') || '/' || specifier END"
+_IMPORTS = rf"""fi AS (SELECT report_id AS part, {CANON.format('path')} AS path, content FROM source_files WHERE report_id IS NOT NULL AND file_id IS NOT NULL),
+im AS (SELECT part, path, unnest(s) AS specifier, generate_subscripts(s, 1) - 1 AS pos FROM (
+  SELECT part, path, regexp_extract_all(content, '(?:^|\n)\s*import \{{[^}}]*\}} from [''"]([^''"]+)[''"]', 1) AS s FROM fi WHERE regexp_matches(path, '\.(ts|tsx|js|jsx|mjs|cjs)$'))),
+md AS (SELECT r.report_id AS part, m.path FROM mods m JOIN dupe_reports r ON r.snapshot_id = m.snapshot_id),
+ct AS (SELECT part, path, specifier, unnest(c) AS c, generate_subscripts(c, 1) AS r FROM (SELECT DISTINCT part, path, specifier, {candidates('target', True)} AS c FROM (
+  SELECT *, {folded(_FROM)} AS target FROM im WHERE specifier LIKE '.%' OR specifier LIKE '/%'))),
+ib AS (SELECT ct.part, ct.path, specifier, arg_min(c, r) AS target FROM ct JOIN md ON md.part = ct.part AND md.path = c GROUP BY ALL)"""
+
+
+@query("import_targets", f"""WITH {MODULES}, {_IMPORTS}
+SELECT im.part, im.path, im.pos, im.specifier, false AS is_reexport, target FROM im LEFT JOIN ib ON ib.part = im.part AND ib.path = im.path AND ib.specifier = im.specifier""")
 def _(m):
     return _call_graph(m).imports
 
@@ -675,7 +729,13 @@ def _(m):
     return contracts(g.facts, g.bindings).withColumn("shape", F.to_json("shape"))
 
 
-@query("resolved_specifiers")
+@query("resolved_specifiers", f"""WITH {_BASE},
+sp AS (SELECT ce.snapshot_id AS part, f.path AS path, t.path AS to_path, ce.specifier, {folded("regexp_replace(f.path, '[^/]*$', '') || '/' || ce.specifier")} AS target
+  FROM ce JOIN mods f ON f.snapshot_id = ce.snapshot_id AND f.id = ce.from_id JOIN mods t ON t.snapshot_id = ce.snapshot_id AND t.id = ce.to_id WHERE ce.specifier LIKE '.%'),
+cd AS (SELECT part, path, specifier, unnest(c) AS c, generate_subscripts(c, 1) AS r FROM (SELECT DISTINCT part, path, specifier, {candidates('target', False)} AS c FROM sp)),
+bs AS (SELECT cd.part, cd.path, specifier, arg_min(c, r) AS found FROM cd JOIN mods m ON m.snapshot_id = cd.part AND m.path = c GROUP BY ALL)
+SELECT sp.part, count(*) AS relative, count(found) AS resolved, count(*) FILTER (WHERE found = to_path) AS as_recorded
+FROM sp LEFT JOIN bs ON bs.part = sp.part AND bs.path = sp.path AND bs.specifier = sp.specifier GROUP BY 1""")
 def _(m):
     """Relative specifiers of recorded edges: how many lead to a module, and to the recorded one."""
     from archlake.operators.resolve import resolve_imports
@@ -691,17 +751,17 @@ def _similar(m):
     return SimilarFiles(_files(m))
 
 
-@query("source_dupe_pairs")
+@query("source_dupe_pairs", f"WITH {CLASSES} SELECT * FROM cp")
 def _(m):
     return _similar(m).pairs
 
 
-@query("source_dupe_members")
+@query("source_dupe_members", f"WITH {CLASSES} SELECT * FROM cm")
 def _(m):
     return _similar(m).members
 
 
-@query("source_dupe_clusters")
+@query("source_dupe_clusters", f"WITH RECURSIVE {CLUSTERS} SELECT *, row_number() OVER (PARTITION BY part ORDER BY files DESC, similarity DESC, cluster) AS place FROM cl")
 def _(m):
     from archlake.operators.dupes import cluster_order
 
