@@ -81,41 +81,55 @@ def visible_edges(edges: DataFrame, visible: DataFrame) -> DataFrame:
     )
 
 
-def connected_components(links: DataFrame, part: str = "part", max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, part: str = "part") -> DataFrame:
     """part, node, component (smallest node) for every node of the undirected ``links`` (part, a, b).
 
     Alternating large and small stars: every round ties the neighbours of a node to
-    the smallest of them, so the depth of a component halves. Self links only name
-    their node; null ends are ignored. Rounds are written to the shared folder.
+    the smallest of them, so the depth of a component halves. A component is settled
+    once it is a star around its smallest node. Self links only name their node;
+    null ends are ignored. Rounds are written to the shared folder; whether all is
+    settled is seen while a round is written.
     """
     scratch = Scratch(links.sparkSession, "components")
     given = links.select(F.col(part).alias("part"), "a", "b").where("a is not null and b is not null and part is not null")
     nodes = given.select("part", F.col("a").alias("node")).union(given.select("part", "b")).distinct()
-    now = scratch.write(given.where("a <> b").select("part", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
+    start = given.where("a <> b").select("part", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now, seen = scratch.write_counting(start, "stars", n=F.lit(1), sum=F.pmod(F.xxhash64("part", "a", "b"), F.lit(1 << 40)))
     last = None
-    for _ in range(max_rounds):
-        if now.isEmpty():
-            break
+    while seen["n"] and seen != last:
         both = now.union(now.select("part", "b", "a"))
         low = both.groupBy("part", "a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.join(low, ["part", "a"]).where("b > a and b <> m").select("part", F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.union(low.where("a <> m").select("part", "a", F.col("m").alias("b"))).distinct()
         small_low = large.groupBy("part", "a").agg(F.min("b").alias("m"))
         small = large.join(small_low, ["part", "a"]).where("b <> m").select("part", F.col("b").alias("a"), F.col("m").alias("b"))
-        new = scratch.write(small.union(small_low.select("part", "a", F.col("m").alias("b"))).distinct(), "stars")
-        state = new.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("part", "a", "b"))).first()
+        new = small.union(small_low.select("part", "a", F.col("m").alias("b"))).distinct()
+        last = seen
+        new, seen = scratch.write_counting(new, "stars", n=F.lit(1), sum=F.pmod(F.xxhash64("part", "a", "b"), F.lit(1 << 40)))
         scratch.drop(now)
         now = new
-        if tuple(state) == last:
-            break
-        last = tuple(state)
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return nodes.join(now.select("part", F.col("a").alias("node"), "b"), ["part", "node"], "left").select(
         "part", "node", F.coalesce("b", "node").alias("component")
     )
 
 
+#: rounds of peeling or propagation planned as one job
+ROUNDS = 3
+
+
+def _peeled(core: DataFrame) -> DataFrame:
+    """Edges both of whose ends have an edge in and an edge out."""
+    heads, tails = core.select("snapshot_id", F.col("t").alias("f")).distinct(), core.select("snapshot_id", F.col("f").alias("t")).distinct()
+    return core.join(heads, ["snapshot_id", "f"], "left_semi").join(tails, ["snapshot_id", "t"], "left_semi")
+
+
+def _coloured(core: DataFrame, colour: DataFrame) -> DataFrame:
+    """One round: every node (v) takes the smallest colour (c) among its own and its predecessors'; ``was`` is what it had."""
+    sent = core.join(colour.select("snapshot_id", F.col("v").alias("f"), "c"), ["snapshot_id", "f"]).select("snapshot_id", F.col("t").alias("v"), "c", F.lit(None).cast("long").alias("was"))
+    own = colour.select("snapshot_id", "v", "c", F.col("c").alias("was"))
+    return sent.unionByName(own).groupBy("snapshot_id", "v").agg(F.min("c").alias("c"), F.min("was").alias("was"))
+
+
 def _local_components(x: pd.DataFrame) -> pd.DataFrame:
     """v, c (smallest id of its component) of one bounded set of edges: two depth-first passes, without recursion."""
     forward: dict[int, list[int]] = {}
@@ -156,94 +170,76 @@ def _local_components(x: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"snapshot_id": x["snapshot_id"].iloc[0], "v": list(component), "c": list(component.values())})
 
 
-def strong_components(modules: DataFrame, edges: DataFrame, local_edges: int = 200_000, max_rounds: int = 500) -> DataFrame:
+def strong_components(modules: DataFrame, edges: DataFrame, local_edges: int = 200_000) -> DataFrame:
     """snapshot_id, id, scc_id (smallest id of the component), scc_size of every module.
 
     Modules without incoming or outgoing edges among the rest are peeled off, each a
     component of its own. A snapshot of whose edges at most ``local_edges`` are left
-    is then solved in one task, the number being counted first; the others advance
-    together: every module takes the smallest id that reaches it; those of one
-    colour that reach the colour's own module are one component and leave; the rest
-    goes on. Each of these steps is a join and an aggregation over what is left.
+    (they are counted first, and take some 60 MB) is solved in one task, many
+    snapshots side by side; this saves the rounds below where they gain nothing. All
+    others advance together, spread over all tasks: every module left takes
+    the smallest colour that reaches it, where colours are hashed ids, another hash
+    each time; edges between two colours lie on no cycle and go; the modules of a
+    colour that reach the one it began at are a component and leave; the rest goes
+    on. Each of these steps is a join and an aggregation over what is left; the
+    graph is cut at random places, so few repetitions are needed.
     """
-    scratch = Scratch(modules.sparkSession, "scc")
+    scratch, one = Scratch(modules.sparkSession, "scc"), F.lit(1)
     rows = edges.where("from_id <> to_id").select("snapshot_id", F.col("from_id").alias("f"), F.col("to_id").alias("t")).distinct()
-    core = scratch.write(rows, "core")
-    for _ in range(2):
-        heads, tails = core.select("snapshot_id", F.col("t").alias("f")).distinct(), core.select("snapshot_id", F.col("f").alias("t")).distinct()
-        core = core.join(heads, ["snapshot_id", "f"], "left_semi").join(tails, ["snapshot_id", "t"], "left_semi")
-    core = scratch.write(core, "core")
-    small = core.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= local_edges).select("snapshot_id")
+    core = scratch.write(_peeled(_peeled(rows)), "core")
+    small = core.groupBy("snapshot_id").agg(F.count(one).alias("n")).where(F.col("n") <= local_edges).select("snapshot_id")
     solved = core.join(small, "snapshot_id", "left_semi").groupBy("snapshot_id").applyInPandas(_local_components, "snapshot_id long, v long, c long")
-    done: list[DataFrame] = [scratch.write(solved, "solved")]
-    core = scratch.write(core.join(small, "snapshot_id", "left_anti"), "core")
-    rounds = 0
-
-    def tick() -> None:
-        nonlocal rounds
-        rounds += 1
-        if rounds > max_rounds:
-            raise RuntimeError(f"strong components did not settle in {max_rounds} rounds")
-
-    def replace(old: DataFrame, new: DataFrame, name: str) -> tuple[DataFrame, int]:
-        new = scratch.write(new, name)
-        n = new.count()
-        scratch.drop(old)
-        return new, n
-
-    left = core.count()
-    while left:
-        while True:  # peel
-            tick()
-            heads, tails = core.select("snapshot_id", F.col("t").alias("f")).distinct(), core.select("snapshot_id", F.col("f").alias("t")).distinct()
-            core, now = replace(core, core.join(heads, ["snapshot_id", "f"], "left_semi").join(tails, ["snapshot_id", "t"], "left_semi"), "core")
-            if now == left:
+    done = [scratch.write(solved.select("snapshot_id", F.col("v").alias("id"), F.col("c").alias("scc_id")), "solved")]
+    core, left = scratch.write_counting(core.join(small, "snapshot_id", "left_anti"), "core", n=one)
+    turn = 0
+    while left["n"]:
+        before = -1
+        while left["n"] != before:  # peel until a job takes nothing away
+            before, later = left["n"], core
+            for _ in range(ROUNDS):
+                later = _peeled(later)
+            later, left = scratch.write_counting(later, "core", n=one)
+            scratch.drop(core)
+            core = later
+            if not left["n"]:
                 break
-            left = now
-        if not left:
+        if not left["n"]:
             break
-        colour = scratch.write(core.select("snapshot_id", F.col("f").alias("v"), F.col("f").alias("c")).distinct(), "colour")
-        while True:  # the smallest id upstream
-            tick()
-            step = core.join(colour, (core["f"] == colour["v"]) & (core["snapshot_id"] == colour["snapshot_id"])).select(
-                core["snapshot_id"], F.col("t").alias("v"), "c", F.lit(False).alias("own")
-            )
-            grown = step.unionByName(colour.withColumn("own", F.lit(True))).groupBy("snapshot_id", "v").agg(
-                F.min("c").alias("c"), F.min(F.when(F.col("own"), F.col("c"))).alias("was")
-            )
-            grown = scratch.write(grown, "colour")
-            moved = not grown.where("c <> was").isEmpty()
-            scratch.drop(colour)
-            colour = grown.drop("was")
-            colour._archlake_path = grown._archlake_path
-            if not moved:
-                break
-        same = (
-            core.join(colour.select("snapshot_id", F.col("v").alias("f"), F.col("c").alias("cf")), ["snapshot_id", "f"])
-            .join(colour.select("snapshot_id", F.col("v").alias("t"), "c"), ["snapshot_id", "t"])
-            .where("cf = c").select("snapshot_id", "f", "t", "c")
-        )
-        same = scratch.write(same, "same")
-        found = scratch.write(colour.where("v = c").select("snapshot_id", "v", "c"), "found")
-        front = found
-        while True:  # back from each colour's module, inside its colour
-            tick()
+        turn += 1
+        ranked = F.xxhash64(F.lit(turn), "v")
+        nodes = core.select("snapshot_id", F.col("f").alias("v")).distinct()  # every node left has an edge out
+        colour, moved = nodes.select("snapshot_id", "v", ranked.alias("c")), {"n": 1}
+        written: list[DataFrame] = []
+        while moved["n"]:
+            for _ in range(ROUNDS):
+                colour = _coloured(core, colour)
+            colour, moved = scratch.write_counting(colour, "colour", n=F.col("c") < F.col("was"))
+            scratch.drop(*written)
+            written = [colour]
+        ends = colour.select("snapshot_id", F.col("v").alias("f"), F.col("c").alias("cf"))
+        same = core.join(ends, ["snapshot_id", "f"]).join(colour.select("snapshot_id", F.col("v").alias("t"), "c"), ["snapshot_id", "t"]).where("cf = c")
+        same = scratch.write(same.select("snapshot_id", "f", "t", "c"), "same")
+        found, new = scratch.write_counting(colour.where(ranked == F.col("c")).select("snapshot_id", "v", "c"), "found", n=one)
+        parts, front = [found], found
+        while new["n"]:  # back from where each colour began, inside the colour
             back = same.join(front.select("snapshot_id", F.col("v").alias("t")), ["snapshot_id", "t"], "left_semi").select("snapshot_id", F.col("f").alias("v"), "c").distinct()
-            front = scratch.write(back.join(found.select("snapshot_id", "v"), ["snapshot_id", "v"], "left_anti"), "front")
-            if front.isEmpty():
-                break
-            found = scratch.write(found.unionByName(front), "found")
-        done.append(found)
+            for part in parts:
+                back = back.join(part.select("snapshot_id", "v"), ["snapshot_id", "v"], "left_anti")
+            front, new = scratch.write_counting(back, "front", n=one)
+            parts.append(front)
+        found = parts[0]
+        for part in parts[1:]:
+            found = found.unionByName(part)
+        done.append(found.groupBy("snapshot_id", "c").agg(F.min("v").alias("low")).join(found, ["snapshot_id", "c"]).select("snapshot_id", F.col("v").alias("id"), F.col("low").alias("scc_id")))
         gone = found.select("snapshot_id", "v")
-        core, left = replace(
-            core,
-            core.join(gone.withColumnRenamed("v", "f"), ["snapshot_id", "f"], "left_anti").join(gone.withColumnRenamed("v", "t"), ["snapshot_id", "t"], "left_anti"),
-            "core",
-        )
+        rest = same.join(gone.withColumnRenamed("v", "f"), ["snapshot_id", "f"], "left_anti").join(gone.withColumnRenamed("v", "t"), ["snapshot_id", "t"], "left_anti")
+        later, left = scratch.write_counting(rest.select("snapshot_id", "f", "t"), "core", n=one)
+        scratch.drop(core, same, colour)
+        core = later
+    ids = modules.select("snapshot_id", "id")
     members = done[0]
     for d in done[1:]:
         members = members.unionByName(d)
-    members = members.select("snapshot_id", F.col("v").alias("id"), F.col("c").alias("scc_id"))
-    ids = modules.select("snapshot_id", "id").join(members, KEY, "left").withColumn("scc_id", F.coalesce("scc_id", "id"))
+    ids = ids.join(members, KEY, "left").withColumn("scc_id", F.coalesce("scc_id", "id"))
     sizes = ids.groupBy("snapshot_id", "scc_id").agg(F.count(F.lit(1)).alias("scc_size"))
     return ids.join(sizes, ["snapshot_id", "scc_id"]).select("snapshot_id", "id", "scc_id", "scc_size")

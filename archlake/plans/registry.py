@@ -145,6 +145,11 @@ def _(m):
     return m.components()
 
 
+@query("strong_components_spread", f"WITH RECURSIVE {_BASE}, {_SCC} SELECT snapshot_id, id, scc_id, scc_size FROM scc")
+def _(m):  # no snapshot is solved in one task
+    return graph.strong_components(m.modules, m.edges, local_edges=0)
+
+
 @query("cycle_counts", f"""WITH RECURSIVE {_BASE}, {_SCC}
 SELECT snapshot_id, count(DISTINCT scc_id) FILTER (WHERE scc_size > 1) AS cycles, count(*) FILTER (WHERE scc_size > 1) AS modules_in_cycles FROM scc GROUP BY 1""")
 def _(m):
