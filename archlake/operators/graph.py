@@ -175,7 +175,7 @@ def strong_components(modules: DataFrame, edges: DataFrame, local_edges: int = 2
 
     Modules without incoming or outgoing edges among the rest are peeled off, each a
     component of its own. A snapshot of whose edges at most ``local_edges`` are left
-    (they are counted first, and take some 60 MB) is solved in one task, many
+    (they are counted first, and take 40 MB and a second or two) is solved in one task, many
     snapshots side by side; this saves the rounds below where they gain nothing. All
     others advance together, spread over all tasks: every module left takes
     the smallest colour that reaches it, where colours are hashed ids, another hash
