@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from archlake.llm import components, encoding, generated, leakage, mixing
 from archlake.llm.neardup import NearDuplicates
 from archlake.plans.sql import CANON
+from archlake.plans.text_sql import SHINGLES
 from archlake.sources.tables import table
 
 
@@ -105,6 +106,9 @@ WITH d AS (SELECT lower(trim(source)) AS source, sum(length(text)) AS n FROM doc
 m AS (SELECT t.source, t.target_share, t.max_repeats, coalesce(d.n, 0) AS n
       FROM mix_targets t LEFT JOIN d ON d.source = lower(trim(t.source)))
 SELECT source FROM m WHERE max_repeats * n < target_share * (SELECT sum(n) FROM m)""",
+    "p2_found": f"""WITH {SHINGLES},
+t AS (SELECT report_id, least(greatest(coalesce(threshold, 0.60::FLOAT), 0.1::FLOAT), 1.0::FLOAT) AS t FROM dupe_reports)
+SELECT a AS file_id_a, b AS file_id_b FROM js JOIN t ON t.report_id = js.report_id WHERE similarity >= t""",
     "p7_targets": """
 WITH d AS (SELECT lower(trim(source)) AS source, sum(length(text)) AS n FROM documents GROUP BY 1),
 m AS (SELECT t.source, t.target_share, t.max_repeats, coalesce(d.n, 0) AS n
