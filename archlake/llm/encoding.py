@@ -46,6 +46,8 @@ LEGACY = (
 # Multi-byte encodings read as single bytes, and the reverse.
 MULTI_AS_SINGLE = ("cp932", "euc_jp", "gb18030", "euc_kr", "big5")
 UTF8_AS_MULTI = ("cp932", "gbk", "euc_kr", "big5", "euc_jp")
+# Those of WRONG_FOR_UTF8 whose upper half is an alphabet, so that words of it hold valid sequences by chance.
+ALPHABETS = ("cp1251", "koi8-r", "cp866", "cp1253", "mac_cyrillic")
 QUOTES = "\"'`´‘’‚‛“”„‟«»‹›「」『』"
 
 
@@ -205,10 +207,15 @@ def _utf8_layer(text: str, encoding: str) -> str:
     return utf8_pattern(encoding).sub(decode, text)
 
 
+def _by_chance(run: str, encoding: str) -> bool:
+    """Whether letters of an alphabet are left over: garbled text is a sequence throughout, a word of that alphabet isn't."""
+    return encoding in ALPHABETS and any(c.isalpha() and c in byte_of(encoding) for c in utf8_pattern(encoding).sub("", run))
+
+
 def _as_utf8(run: str) -> Iterator[str]:
     for enc in WRONG_FOR_UTF8:
         once = _utf8_layer(run, enc)
-        if once != run:
+        if once != run and not _by_chance(run, enc):
             yield once
             twice = _utf8_layer(once, enc)
             if twice != once:

@@ -331,6 +331,13 @@ def test_single_letters_read_as_multi_byte_text(spark):
     assert sum(got[i] == t for i, t in bad.items()) >= 3
 
 
+def test_rare_alphabets_hold_sequences_by_chance(spark):
+    """A word of a rare script that a reader would see a valid sequence in (three letters of cp866) stays as it is."""
+    docs = [(i, GOOD[i % 4] + f" {i}") for i in range(900)] + [(1000, "Эти точки зрения учтены."), (1001, "точки"), (1002, "Обе точки графа")]
+    d = spark.createDataFrame([*docs, (2000, GOOD[3].encode().decode("latin-1"))], "doc_id long, text string")
+    assert [(r["doc_id"], r["text"]) for r in encoding.restored(d).collect()] == [(2000, GOOD[3])]
+
+
 def test_maximal_segments():
     rng = np.random.default_rng(0)
     for _ in range(50):
