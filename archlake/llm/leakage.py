@@ -31,7 +31,7 @@ from archlake.session import Scratch
 WORD = re.compile(r"[^\W_]+")
 LENGTH, BLOCK = 12, 2
 #: slots of the hashed tables: this many per word of the items, up to a size that fits every worker (two bytes a slot)
-SLOTS_PER_WORD, LEAST_SLOTS, MOST_SLOTS = 16, 1 << 16, 1 << 25
+SLOTS_PER_WORD, LEAST_SLOTS, MOST_SLOTS = 16, 1 << 16, 1 << 23
 SHIFT, START = 0, 1
 
 
@@ -60,12 +60,12 @@ def _table_rows(items: pd.DataFrame, length: int, slots: int) -> pd.DataFrame:
             least[SHIFT, h] = min(shift, least.get((SHIFT, h), shift))
         for start in range(last + 1):
             least[START, blocks[start]] = 0
-    return pd.DataFrame([(k, h, v) for (k, h), v in least.items()], columns=["kind", "slot", "value"]).astype("int64")
+    return pd.DataFrame([(k, h, v) for (k, h), v in least.items()], columns=["kind", "slot", "value"]).astype({"kind": "int8", "slot": "int32", "value": "int8"})
 
 
 def search_tables(items: DataFrame, length: int, slots: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shift of every slot, and whether a pattern begins with a block of it. At most two rows a slot are collected."""
-    rows = items.mapInPandas(lambda batches: (_table_rows(x, length, slots) for x in batches), "kind long, slot long, value long")
+    """The shift of every slot, and whether a pattern begins with a block of it. At most two rows of six bytes a slot are collected."""
+    rows = items.mapInPandas(lambda batches: (_table_rows(x, length, slots) for x in batches), "kind byte, slot int, value byte")
     found = rows.groupBy("kind", "slot").agg(F.min("value").alias("value")).toPandas()
     shift, start = np.full(slots, length - BLOCK + 1, np.uint8), np.zeros(slots, bool)
     own = found["kind"] == SHIFT
