@@ -100,7 +100,7 @@ def connected_components(links: DataFrame, part: str = "part") -> DataFrame:
         both = now.union(now.select("part", "b", "a"))
         low = both.groupBy("part", "a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.join(low, ["part", "a"]).where("b > a and b <> m").select("part", F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.union(low.where("a <> m").select("part", "a", F.col("m").alias("b"))).distinct()
+        large = large.union(low.where("a <> m").select("part", "a", F.col("m").alias("b")))  # repeats go with the round's last step
         small_low = large.groupBy("part", "a").agg(F.min("b").alias("m"))
         small = large.join(small_low, ["part", "a"]).where("b <> m").select("part", F.col("b").alias("a"), F.col("m").alias("b"))
         new = small.union(small_low.select("part", "a", F.col("m").alias("b"))).distinct()

@@ -85,6 +85,21 @@ def test_rollup_depth_one(spark):
     assert [(x["from_group"], x["to_group"], x["weight"]) for x in rollup.group_edges(e, g).collect()] == [("main.ts", "src", 2)]
 
 
+def test_order_of_violations(spark):
+    v = spark.createDataFrame([(1, "b", "Warning", "a", "b", "m", 1), (1, "a", "Error", "z", "b", "m", 9), (1, "a", "Error", "y", "b", "m", 9), (1, "c", "Error", "x", None, None, 3), (2, "c", "Warning", "x", "y", "m", 0)], "snapshot_id long, rule string, severity string, from_path string, to_path string, message string, rule_order int")
+    got = [(r["snapshot_id"], r["place"], r["from_path"]) for r in rules.ordered_violations(v).orderBy("snapshot_id", "place").collect()]
+    assert got == [(1, 1, "x"), (1, 2, "y"), (1, 3, "z"), (1, 4, "a"), (2, 1, "x")]
+    assert rules.ordered_violations(v.limit(0)).count() == 0
+
+
+def test_neighbours_with_their_rows(spark):
+    m = modules(spark, ["a.ts", "b.ts", "c.ts"])
+    e = spark.createDataFrame([(1, 0, 1, "imports"), (1, 0, 1, "reexports"), (1, 2, 0, "imports"), (1, 0, 0, "imports"), (2, 0, 1, "imports")], "snapshot_id long, from_id long, to_id long, kind string")
+    chosen = spark.createDataFrame([(1, 0)], "snapshot_id long, id long")
+    got = {(r["direction"], r["path"]) for r in graph.neighbour_modules(e, chosen, m).collect()}
+    assert got == {("out", "b.ts"), ("out", "a.ts"), ("in", "c.ts"), ("in", "a.ts")}
+
+
 def test_hub_threshold(spark):
     m = spark.createDataFrame([(1, i) for i in range(1, 11)] + [(2, 0)], "snapshot_id long, fan_in long")
     assert {tuple(r) for r in signals.hub_thresholds(m).collect()} == {(1, 10), (2, 2)}

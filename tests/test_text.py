@@ -322,6 +322,37 @@ def test_scan_and_store(spark, tmp_path):
         store.set_baseline("unknown")
 
 
+def test_json_export_and_load(spark, tmp_path):
+    """A table exported as JSON is read back by its path in place of a label; an unknown path is an unknown label."""
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    rows = spark.createDataFrame([(1, "src/a.ts", None), (2, None, "x")], "id long, path string, sha string")
+    store.export_json(rows, str(tmp_path / "out.json"))
+    back = store.load(str(tmp_path / "out.json"), "anything")
+    assert {(r["id"], r["path"], r["sha"]) for r in back.collect()} == {(1, "src/a.ts", None), (2, None, "x")}
+    assert store.load(str(tmp_path / "gone.json"), "anything") is None
+
+
+def test_workdir_point(spark):
+    """The working directory's point joins the stored ones unless one of them is already labelled so."""
+    stored = spark.createDataFrame([(1, "v1", 5), (2, None, 6)], "snapshot_id long, label string, file_count long")
+    work = spark.createDataFrame([("workdir", 7)], "label string, file_count long")
+    assert {tuple(r) for r in trends.with_workdir(stored, work).collect()} == {(1, "v1", 5), (2, None, 6), (None, "workdir", 7)}
+    twice = trends.with_workdir(stored.union(spark.createDataFrame([(3, "workdir", 1)], stored.schema)), work)
+    assert twice.where("label = 'workdir'").count() == 1 and twice.count() == 3
+    assert trends.with_workdir(stored.limit(0), work).count() == 1
+
+
+@pytest.mark.parametrize(("given", "used"), [(None, 0.6), (0.0, 0.1), (0.7, 0.7), (5, 1.0), (-1, 0.1)])
+def test_thresholds_are_clamped(given, used):
+    assert dupes.clamp_threshold(given) == used
+
+
+def test_time_helpers(spark):
+    t = F.timestamp_seconds(F.lit(1_700_000_000.9))
+    assert one(spark, labels.unix_seconds(t)) == 1_700_000_000 and one(spark, labels.seen_label(t)) == "seen_1700000000"
+    assert one(spark, labels.seen_label(F.lit(None).cast("timestamp"))) is None
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = spark.sql("select timestamp'2025-01-01' + make_interval(0,0,0,cast(id % 5 as int)) as scanned_at, if(id % 2 = 0, ' Imports', 'reexports') as kind from range(50)")
     late = spark.sql("select timestamp'2026-01-01' as scanned_at, 'imports' as kind")
