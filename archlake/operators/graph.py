@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from archlake.functions.components import spread_components
 from archlake.session import Scratch
 from archlake.sources.tables import current_modules
 
@@ -113,21 +114,20 @@ def connected_components(links: DataFrame, part: str = "part") -> DataFrame:
     )
 
 
-#: rounds of peeling or propagation planned as one job
-ROUNDS = 3
+#: edges a task holds at once, about 150 bytes each, where strong components are spread
+SHARE = 1_000_000
 
 
-def _peeled(core: DataFrame) -> DataFrame:
-    """Edges both of whose ends have an edge in and an edge out."""
-    heads, tails = core.select("snapshot_id", F.col("t").alias("f")).distinct(), core.select("snapshot_id", F.col("f").alias("t")).distinct()
-    return core.join(heads, ["snapshot_id", "f"], "left_semi").join(tails, ["snapshot_id", "t"], "left_semi")
+def _core(modules: DataFrame, edges: DataFrame) -> DataFrame:
+    """snapshot_id, f, t of the distinct edges between two modules that aren't one, to modules with an edge out.
 
-
-def _coloured(core: DataFrame, colour: DataFrame) -> DataFrame:
-    """One round: every node (v) takes the smallest colour (c) among its own and its predecessors'; ``was`` is what it had."""
-    sent = core.join(colour.select("snapshot_id", F.col("v").alias("f"), "c"), ["snapshot_id", "f"]).select("snapshot_id", F.col("t").alias("v"), "c", F.lit(None).cast("long").alias("was"))
-    own = colour.select("snapshot_id", "v", "c", F.col("c").alias("was"))
-    return sent.unionByName(own).groupBy("snapshot_id", "v").agg(F.min("c").alias("c"), F.min("was").alias("was"))
+    The left join key comes first in the distinct rows, so they need no shuffle of
+    their own; a target with an edge out is known to be a module.
+    """
+    ids = modules.select("snapshot_id", F.col("id").alias("f"))
+    rows = edges.where("from_id <> to_id").select("snapshot_id", F.col("from_id").alias("f"), F.col("to_id").alias("t")).join(ids, ["snapshot_id", "f"], "left_semi").distinct()
+    tails = rows.select("snapshot_id", F.col("f").alias("t")).distinct()
+    return rows.join(tails, ["snapshot_id", "t"], "left_semi").select("snapshot_id", "f", "t")
 
 
 def _local_components(x: pd.DataFrame) -> pd.DataFrame:
@@ -170,76 +170,54 @@ def _local_components(x: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"snapshot_id": x["snapshot_id"].iloc[0], "v": list(component), "c": list(component.values())})
 
 
-def strong_components(modules: DataFrame, edges: DataFrame, local_edges: int = 200_000) -> DataFrame:
+def _slots(spark: SparkSession) -> int:
+    """Tasks that can run side by side."""
+    jvm = spark.sparkContext._jsc.sc()
+    return max(1, jvm.maxNumConcurrentTasks(jvm.resourceProfileManager().defaultResourceProfile()))
+
+
+def strong_components(modules: DataFrame, edges: DataFrame, local_edges: int = 200_000, share: int = SHARE) -> DataFrame:
     """snapshot_id, id, scc_id (smallest id of the component), scc_size of every module.
 
-    Modules without incoming or outgoing edges among the rest are peeled off, each a
-    component of its own. A snapshot of whose edges at most ``local_edges`` are left
+    ``modules``: snapshot_id, id; ``edges``: snapshot_id, from_id, to_id, clean or as delivered: repeats and ends that
+    are null or no module count for nothing. Edges to modules without an edge out lie
+    on no cycle and go first. A snapshot of whose edges at most ``local_edges`` are left
     (they are counted first, and take 40 MB and a second or two) is solved in one task, many
-    snapshots side by side; this saves the rounds below where they gain nothing. All
-    others advance together, spread over all tasks: every module left takes
-    the smallest colour that reaches it, where colours are hashed ids, another hash
-    each time; edges between two colours lie on no cycle and go; the modules of a
-    colour that reach the one it began at are a component and leave; the rest goes
-    on. Each of these steps is a join and an aggregation over what is left; the
-    graph is cut at random places, so few repetitions are needed.
+    snapshots side by side; this saves the steps below where they gain nothing. All
+    others advance together in one barrier stage, with their modules spread over all tasks
+    (``archlake.functions.components``): the graphs are deep, and a step there costs
+    milliseconds, where one of joins costs a second. If the tasks would hold more than
+    ``share`` edges each, whole snapshots are dealt into as many stages, one after the
+    other. A single larger snapshot takes all tasks and more of their memory, as does a
+    module with many edges that task's which holds it. Barrier stages need all their
+    tasks to run at once, so they don't run under dynamic allocation.
     """
-    scratch, one = Scratch(modules.sparkSession, "scc"), F.lit(1)
-    rows = edges.where("from_id <> to_id").select("snapshot_id", F.col("from_id").alias("f"), F.col("to_id").alias("t")).distinct()
-    core = scratch.write(_peeled(_peeled(rows)), "core")
-    small = core.groupBy("snapshot_id").agg(F.count(one).alias("n")).where(F.col("n") <= local_edges).select("snapshot_id")
-    solved = core.join(small, "snapshot_id", "left_semi").groupBy("snapshot_id").applyInPandas(_local_components, "snapshot_id long, v long, c long")
-    done = [scratch.write(solved.select("snapshot_id", F.col("v").alias("id"), F.col("c").alias("scc_id")), "solved")]
-    core, left = scratch.write_counting(core.join(small, "snapshot_id", "left_anti"), "core", n=one)
-    turn = 0
-    while left["n"]:
-        before = -1
-        while left["n"] != before:  # peel until a job takes nothing away
-            before, later = left["n"], core
-            for _ in range(ROUNDS):
-                later = _peeled(later)
-            later, left = scratch.write_counting(later, "core", n=one)
-            scratch.drop(core)
-            core = later
-            if not left["n"]:
-                break
-        if not left["n"]:
-            break
-        turn += 1
-        ranked = F.xxhash64(F.lit(turn), "v")
-        nodes = core.select("snapshot_id", F.col("f").alias("v")).distinct()  # every node left has an edge out
-        colour, moved = nodes.select("snapshot_id", "v", ranked.alias("c")), {"n": 1}
-        written: list[DataFrame] = []
-        while moved["n"]:
-            for _ in range(ROUNDS):
-                colour = _coloured(core, colour)
-            colour, moved = scratch.write_counting(colour, "colour", n=F.col("c") < F.col("was"))
-            scratch.drop(*written)
-            written = [colour]
-        ends = colour.select("snapshot_id", F.col("v").alias("f"), F.col("c").alias("cf"))
-        same = core.join(ends, ["snapshot_id", "f"]).join(colour.select("snapshot_id", F.col("v").alias("t"), "c"), ["snapshot_id", "t"]).where("cf = c")
-        same = scratch.write(same.select("snapshot_id", "f", "t", "c"), "same")
-        found, new = scratch.write_counting(colour.where(ranked == F.col("c")).select("snapshot_id", "v", "c"), "found", n=one)
-        parts, front = [found], found
-        while new["n"]:  # back from where each colour began, inside the colour
-            back = same.join(front.select("snapshot_id", F.col("v").alias("t")), ["snapshot_id", "t"], "left_semi").select("snapshot_id", F.col("f").alias("v"), "c").distinct()
-            for part in parts:
-                back = back.join(part.select("snapshot_id", "v"), ["snapshot_id", "v"], "left_anti")
-            front, new = scratch.write_counting(back, "front", n=one)
-            parts.append(front)
-        found = parts[0]
-        for part in parts[1:]:
-            found = found.unionByName(part)
-        done.append(found.groupBy("snapshot_id", "c").agg(F.min("v").alias("low")).join(found, ["snapshot_id", "c"]).select("snapshot_id", F.col("v").alias("id"), F.col("low").alias("scc_id")))
-        gone = found.select("snapshot_id", "v")
-        rest = same.join(gone.withColumnRenamed("v", "f"), ["snapshot_id", "f"], "left_anti").join(gone.withColumnRenamed("v", "t"), ["snapshot_id", "t"], "left_anti")
-        later, left = scratch.write_counting(rest.select("snapshot_id", "f", "t"), "core", n=one)
-        scratch.drop(core, same, colour)
+    spark = modules.sparkSession
+    scratch, one = Scratch(spark, "scc"), F.lit(1)
+    core, left = scratch.write_counting(_core(modules, edges), "core", n=one)
+    members = spark.createDataFrame([], "snapshot_id long, id long, scc_id long")
+    if local_edges > 0 and left["n"]:
+        small = core.groupBy("snapshot_id").agg(F.count(one).alias("n")).where(F.col("n") <= local_edges).select("snapshot_id")
+        solved = core.join(small, "snapshot_id", "left_semi").groupBy("snapshot_id").applyInPandas(_local_components, "snapshot_id long, v long, c long")
+        members = scratch.write(solved.select("snapshot_id", F.col("v").alias("id"), F.col("c").alias("scc_id")), "solved")
+        later, left = scratch.write_counting(core.join(small, "snapshot_id", "left_anti"), "core", n=one)
+        scratch.drop(core)
+        core = later
+    tasks = _slots(spark)
+    stages = -(-left["n"] // (share * tasks))
+    if stages > 1:
+        later = scratch.write_by(core.withColumn("stage", F.pmod(F.xxhash64("snapshot_id"), F.lit(stages)).cast("int")), "stage", "stages")
+        scratch.drop(core)
         core = later
-    ids = modules.select("snapshot_id", "id")
-    members = done[0]
-    for d in done[1:]:
-        members = members.unionByName(d)
-    ids = ids.join(members, KEY, "left").withColumn("scc_id", F.coalesce("scc_id", "id"))
-    sizes = ids.groupBy("snapshot_id", "scc_id").agg(F.count(F.lit(1)).alias("scc_size"))
+    for stage in range(stages):
+        own = core if stages == 1 else core.where(F.col("stage") == stage)
+        task_of = lambda end: F.pmod(F.xxhash64("snapshot_id", end), F.lit(tasks)).cast("int")
+        dealt = own.select("snapshot_id", "f", "t", task_of("t").cast("long").alias("peer"), task_of("f").alias("task")).repartitionById(tasks, F.col("task"))
+        found = scratch.write(
+            dealt.select("snapshot_id", "f", "t", "peer").mapInArrow(spread_components, "snapshot_id long, v long, turn int, c long", barrier=True), "found"
+        )
+        low = found.groupBy("snapshot_id", "turn", "c").agg(F.min("v").alias("scc_id"))
+        members = members.unionByName(found.join(low, ["snapshot_id", "turn", "c"]).select("snapshot_id", F.col("v").alias("id"), "scc_id"))
+    ids = modules.select("snapshot_id", "id").join(members, KEY, "left").withColumn("scc_id", F.coalesce("scc_id", "id"))
+    sizes = ids.groupBy("snapshot_id", "scc_id").agg(F.count(one).alias("scc_size"))
     return ids.join(sizes, ["snapshot_id", "scc_id"]).select("snapshot_id", "id", "scc_id", "scc_size")

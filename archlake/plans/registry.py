@@ -94,7 +94,7 @@ class Model:
         return graph.module_metrics(self.modules, self.edges)
 
     def components(self) -> DataFrame:
-        return graph.strong_components(self.modules, self.edges)
+        return graph.strong_components(self.modules, self.t("edges"))
 
     def violations(self) -> DataFrame:
         return rules.violations(self.modules, self.edges, RULES)
@@ -147,7 +147,7 @@ def _(m):
 
 @query("strong_components_spread", f"WITH RECURSIVE {_BASE}, {_SCC} SELECT snapshot_id, id, scc_id, scc_size FROM scc")
 def _(m):  # no snapshot is solved in one task
-    return graph.strong_components(m.modules, m.edges, local_edges=0)
+    return graph.strong_components(m.modules, m.t("edges"), local_edges=0)
 
 
 @query("cycle_counts", f"""WITH RECURSIVE {_BASE}, {_SCC}

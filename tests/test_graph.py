@@ -37,6 +37,26 @@ def test_strong_components(spark, local):
     assert graph.strong_components(m, e.limit(0), local_edges=local).where("scc_size <> 1").count() == 0
 
 
+@pytest.mark.parametrize("share", [1_000_000, 60])
+def test_deep_graphs_take_few_jobs(spark, share):
+    """A chain of cycles 600 hops deep, in two snapshots: no job per hop, in one stage or dealt into several."""
+    ring = [(v, v + 1) for v in range(600)] + [(v + 2, v) for v in range(0, 598, 6)] + [(599, 600), (600, 599)]
+    edges = [(s, f, t) for s in (1, 2) for f, t in ring if (s, f) != (2, 300)] + [(1, 5, 5), (1, None, 3), (1, 9, None), (1, 600, 7000), (1, 7000, 0), (2, 1, 2), (None, 1, 2)]
+    m = spark.createDataFrame([(s, v) for s in (1, 2) for v in range(602)], "snapshot_id long, id long")
+    e = spark.createDataFrame(edges, "snapshot_id long, from_id long, to_id long")
+    spark.sparkContext.setJobGroup(f"deep {share}", "")
+    got = {(r["snapshot_id"], r["id"]): (r["scc_id"], r["scc_size"]) for r in graph.strong_components(m, e, local_edges=0, share=share).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"deep {share}"))
+    spark.sparkContext.setJobGroup("other", "")
+    want = {(s, v): (v, 1) for s in (1, 2) for v in range(602)}
+    for s in (1, 2):
+        for v in range(0, 598, 6):
+            if (s, v) != (2, 300):
+                want |= {(s, w): (v, 3) for w in (v, v + 1, v + 2)}
+        want |= {(s, 599): (599, 2), (s, 600): (599, 2)}
+    assert got == want and jobs < 60
+
+
 def test_connected_components(spark):
     links = [(1, a, a + 1) for a in range(30)] + [(1, 100, 100), (1, 50, 51), (2, 3, 1), (2, None, 1)]
     got = {(r["part"], r["node"]): r["component"] for r in graph.connected_components(spark.createDataFrame(links, "part long, a long, b long")).collect()}
