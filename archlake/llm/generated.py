@@ -23,6 +23,7 @@ generators or lie in a vendor folder, and generated ones may lie anywhere.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -143,22 +144,52 @@ def trigrams(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return tri[keep], lengths
 
 
-def _by_language(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, int, Lexed]]:
+LEXED = "text_id string, language int, names string, name_times array<int>, styles array<int>, times array<int>, diversity double, whole double, length int, chars_per_name double"
+
+
+def _lex(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of every text its distinct names (a line each) and styles, how often it has each, and its diversity."""
+    for batch in batches:
+        for at in range(0, len(batch), 256):
+            x = batch.iloc[at : at + 256]
+            lexed = Lexed(list(x["content"]))
+            names = [Counter(own) for own in lexed.names]
+            file, codes = lexed.styles()
+            held, times = np.unique(file * (256 * CASES) + codes, return_counts=True)
+            cuts = np.searchsorted(held, np.arange(1, len(x)) * (256 * CASES))
+            diversity, whole, length = lexed.diversity()
+            yield pd.DataFrame(
+                {
+                    "text_id": x["text_id"].to_numpy(), "language": x["language"].to_numpy(), "names": ["\n".join(own) for own in names], "name_times": [np.fromiter(own.values(), np.int32, len(own)) for own in names],
+                    "styles": np.split((held % (256 * CASES)).astype(np.int32), cuts), "times": np.split(times.astype(np.int32), cuts), "diversity": diversity, "whole": whole, "length": length,
+                    "chars_per_name": x["content"].str.len().to_numpy() / np.maximum([len(own) for own in names], 1),
+                }
+            )
+
+
+def _names(x: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the character trigrams of all distinct names of the texts, and the number of each name's trigrams."""
+    held = [n for n in x["names"] if n]
+    return trigrams("\n".join(held).split("\n")) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _flat(column: pd.Series) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *column]).astype(np.int64)
+
+
+def _by_language(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:
     for x in batches:
-        for at in range(0, len(x), 256):
-            for language, group in x.iloc[at : at + 256].groupby("language"):
-                yield group, int(language), Lexed(list(group["content"]))
+        for at in range(0, len(x), 1024):
+            for language, group in x.iloc[at : at + 1024].groupby("language"):
+                yield int(language), group
 
 
 def _train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     tri = np.zeros((len(LANGUAGES), SYMBOLS**3), np.int64)
     style = np.zeros((len(LANGUAGES), 256 * CASES), np.int64)
-    for _, language, lexed in _by_language(batches):
-        names = [n for own in lexed.names for n in set(own)]  # once per file, as are styles
-        if names:
-            tri[language] += np.bincount(trigrams(names)[0], minlength=SYMBOLS**3)
-        file, codes = lexed.styles()
-        style[language] += np.bincount(np.unique(file * (256 * CASES) + codes) % (256 * CASES), minlength=256 * CASES)
+    for language, x in _by_language(batches):  # names and styles once per file
+        tri[language] += np.bincount(_names(x)[0], minlength=SYMBOLS**3)
+        style[language] += np.bincount(_flat(x["styles"]), minlength=256 * CASES)
     for kind, counts in ((0, tri), (1, style)):
         for language in range(len(LANGUAGES)):
             codes = np.flatnonzero(counts[language])
@@ -202,9 +233,9 @@ def _text_id() -> Column:
     return F.concat_ws(":", "language", F.md5("content"))
 
 
-def name_models(texts: DataFrame) -> DataFrame:
-    """kind (0 trigram, 1 style), language, code, n over all texts (language, content): at most (SYMBOLS cubed + 256 CASES) rows a language."""
-    counts = texts.select("language", "content").mapInPandas(_train, "kind int, language int, code long, n long")
+def name_models(lexed: DataFrame) -> DataFrame:
+    """kind (0 trigram, 1 style), language, code, n over all texts (language, names, styles): at most (SYMBOLS cubed + 256 CASES) rows a language."""
+    counts = lexed.select("language", "names", "styles").mapInPandas(_train, "kind int, language int, code long, n long")
     return counts.groupBy("kind", "language", "code").agg(F.sum("n").alias("n"))
 
 
@@ -213,38 +244,29 @@ def name_features(files: DataFrame) -> DataFrame:
     of every distinct text.
 
     The models are collected: their size is bounded by their alphabet. Texts are
-    lexed twice, to train and to score; the second style model is counted from the
-    styles that scoring keeps of each text.
+    lexed once; models are trained and texts are scored from the distinct names and
+    styles that are kept of each.
     """
     scratch = Scratch(files.sparkSession, "names")
-    texts = scratch.write(source_texts(files).select("language", "content").distinct().withColumn("text_id", _text_id()), "texts")
-    model = files.sparkSession.sparkContext.broadcast(name_models(texts).toPandas())
+    texts = source_texts(files).select("language", "content").distinct().withColumn("text_id", _text_id())
+    lexed = scratch.write(texts.mapInPandas(_lex, LEXED), "lexed")
+    model = files.sparkSession.sparkContext.broadcast(name_models(lexed).toPandas())
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tris, styles = _weights(model.value)
-        for x, language, lexed in _by_language(batches):
+        for language, x in _by_language(batches):
             n = len(x)
-            many = np.array([len(o) for o in lexed.names])
-            tri, lengths = trigrams([name for o in lexed.names for name in o])
-            owner = np.repeat(np.repeat(np.arange(n), many), lengths)
-            bits = np.bincount(owner, weights=tris[language][tri], minlength=n) / np.maximum(np.bincount(owner, minlength=n), 1)
-            file, codes = lexed.styles()
-            style = np.bincount(file, weights=styles[language][codes], minlength=n) / np.maximum(many, 1)
-            held, times = np.unique(file * (256 * CASES) + codes, return_counts=True)
-            cuts = np.searchsorted(held, np.arange(1, n) * (256 * CASES))
-            distinct = np.array([len(set(o)) for o in lexed.names])
-            size = x["content"].str.len().to_numpy()
-            diversity, whole, length_class = lexed.diversity()
-            yield pd.DataFrame(
-                {
-                    "text_id": x["text_id"], "language": language, "mangling": bits, "style": style, "diversity": diversity, "whole": whole, "length": length_class, "chars_per_name": size / np.maximum(distinct, 1),
-                    "styles": np.split((held % (256 * CASES)).astype(np.int32), cuts), "times": np.split(times.astype(np.int32), cuts),
-                }
-            )
+            tri, lengths = _names(x)
+            owner = np.repeat(np.repeat(np.arange(n), x["name_times"].str.len().to_numpy(np.int64)), lengths)
+            often = np.repeat(_flat(x["name_times"]), lengths)
+            bits = np.bincount(owner, weights=tris[language][tri] * often, minlength=n) / np.maximum(np.bincount(owner, weights=often, minlength=n), 1)
+            file, times = np.repeat(np.arange(n), x["styles"].str.len().to_numpy(np.int64)), _flat(x["times"])
+            style = np.bincount(file, weights=styles[language][_flat(x["styles"])] * times, minlength=n) / np.maximum(np.bincount(file, weights=times, minlength=n), 1)
+            yield x.assign(mangling=bits, style=style)[["text_id", "language", "mangling", "style", "diversity", "whole", "length", "chars_per_name", "styles", "times"]]
 
     columns = "text_id string, language int, mangling double, style double, diversity double, whole double, length int, chars_per_name double"
-    scored = scratch.write(texts.mapInPandas(score, columns + ", styles array<int>, times array<int>"), "scored")
-    scratch.drop(texts)
+    scored = scratch.write(lexed.mapInPandas(score, columns + ", styles array<int>, times array<int>"), "scored")
+    scratch.drop(lexed)
     usual = scored.crossJoin(F.broadcast(scored.agg(F.percentile_approx("style", 0.5).alias("middle")))).where("style <= middle")  # one row
     counts = usual.select("language", F.explode("styles").alias("code")).groupBy("language", "code").agg(F.count(F.lit(1)).alias("n")).toPandas()
     tables = [np.zeros(256 * CASES) for _ in LANGUAGES]
@@ -258,7 +280,7 @@ def name_features(files: DataFrame) -> DataFrame:
             sizes = x["styles"].str.len().to_numpy(np.int64)
             file = np.repeat(np.arange(len(x)), sizes)
             language = x["language"].to_numpy(np.int64)[file]
-            codes, times = (np.concatenate([np.zeros(0, np.int64), *x[c]]).astype(np.int64) for c in ("styles", "times"))
+            codes, times = _flat(x["styles"]), _flat(x["times"])
             style = np.bincount(file, weights=own.value[language, codes] * times, minlength=len(x)) / np.maximum(np.bincount(file, weights=times, minlength=len(x)), 1)
             yield x.assign(style=style)[["text_id", "language", "mangling", "style", "diversity", "whole", "length", "chars_per_name"]]
 

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,6 +205,26 @@ def test_long_repeated_unit(spark):
     assert generated.usual_diversity([]) == {} and generated.usual_diversity([(7, 9, 0.8), (9, 1, 0.1), (5, 1, 0.1)]) == pytest.approx({5: 0.8, 6: 0.8, 7: 0.8, 8: 0.64, 9: 0.512})
 
 
+def test_models_of_texts_that_are_read_once():
+    """Lexing keeps all that training needs: once per file its distinct names and styles; texts without names are rows like others."""
+    texts = pd.DataFrame({"text_id": list("abcd"), "language": [0, 1, 0, 1], "content": ["let ab = ab + cd; ab()", "1 + 2", "", "let ab = 1"]})
+    (lexed,) = generated._lex(iter([texts]))
+    assert [dict(zip(n.split("\n"), t)) if n else {} for n, t in zip(lexed["names"], lexed["name_times"])] == [{"ab": 3, "cd": 1}, {}, {}, {"ab": 1}]
+    model = pd.concat(generated._train(iter([lexed])))
+    for language, names, styles in ((0, ["ab", "cd"], 4), (1, ["ab"], 1)):
+        own = model[model["language"] == language]
+        want = np.unique(generated.trigrams(names)[0], return_counts=True)
+        assert [tuple(own.loc[own["kind"] == 0, c]) for c in ("code", "n")] == [tuple(w) for w in want]
+        assert own.loc[own["kind"] == 1, "n"].sum() == styles
+
+
+def test_language_without_names(spark):
+    """A collection whose only files of one language hold no name."""
+    rows = [(i, f"a{i}.js", f"const total{i} = first + second;") for i in range(8)] + [(8, "data.ts", "[" + "1, " * 400 + "1]"), (9, "none.ts", "")]
+    files = spark.createDataFrame(rows, "file_id long, path string, content string")
+    assert 8 in {r["file_id"] for r in generated.not_hand_written(files).where("sparse").collect()}
+
+
 def test_generated_awkward_rows(spark):
     rng = random.Random(1)
     name = lambda: rng.choice(["load", "save", "open", "close"]) + rng.choice(["Table", "Window", "Record"])
